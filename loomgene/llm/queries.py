@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, quality, sharding, simhash, urls
+from .store import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,38 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("doc").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1
+    return rows.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return rows.select("page_id", "url_verdict.host", "url_verdict.path", "url_verdict.rule", "url_verdict.verdict")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = written(quality.signals(_table(spark, sf_dir, "documents"), "text", ["doc_id", "lang", "source"]), "signals")
+    rows = quality.judge(signals, quality.thresholds(signals))
+    return rows.select("doc_id", "sig.n_words", "sig.word_chars", "sig.n_symbols", "sig.n_dup_lines", "sig.n_repeat_words", "base_failed", "kept")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix_sizes(_table(spark, sf_dir, "documents"))
+    return rows.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_shuffle": op3_shuffle,
+    "op6_urls": op6_urls,
+    "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_urls": urls.oracle(),
+    "op8_quality": quality.oracle(),
+    "op9_mixing": mixing.oracle(),
+}
