@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, sharding, simhash, urls
+from . import decontaminate, licenses, mixing, quality, sharding, simhash, urls
 from .store import written
 
 
@@ -26,11 +26,24 @@ def op3_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = licenses.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = [F.array_join(f"licenses.{c}", ",").alias(c) for c in ("base_labels", "labels")]
+    return rows.select("doc_id", "licenses.n_words", "licenses.n_base", "licenses.first_word", "licenses.last_word", *joined, "licenses.score")
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
     return rows.select("page_id", "url_verdict.host", "url_verdict.path", "url_verdict.rule", "url_verdict.verdict")
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    names = F.sha2(F.array_join("contamination.items", ",").cast("binary"), 256).alias("items_sha256")
+    n_items = F.size("contamination.items").cast("bigint").alias("n_items")
+    return rows.select("doc_id", "contamination.n_words", "contamination.n_hit", n_items, names, "contamination.contaminated")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = written(quality.signals(_table(spark, sf_dir, "documents"), "text", ["doc_id", "lang", "source"]), "signals")
     rows = quality.judge(signals, quality.thresholds(signals))
@@ -45,13 +58,17 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_shuffle": op3_shuffle,
+    "op4_licenses": op4_licenses,
     "op6_urls": op6_urls,
+    "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_licenses": licenses.oracle(),
     "op6_urls": urls.oracle(),
+    "op7_decontaminate": decontaminate.oracle(),
     "op8_quality": quality.oracle(),
     "op9_mixing": mixing.oracle(),
 }
