@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, quality, sharding, simhash, urls
+from . import decontaminate, langid, licenses, mixing, quality, sharding, simhash, tokens, urls
 from .store import written
 
 
@@ -20,6 +20,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("doc").alias("doc_id"), simhash.hex_digits("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+    model = langid.train(docs.where(~F.col("held_out")))
+    rows = langid.predict(docs.select("doc_id", "text", "held_out"), model)
+    return rows.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score", "language.ambiguous")
+
+
 def op3_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1
@@ -32,6 +43,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "licenses.n_words", "licenses.n_base", "licenses.first_word", "licenses.last_word", *joined, "licenses.score")
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = urls.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
     return rows.select("page_id", "url_verdict.host", "url_verdict.path", "url_verdict.rule", "url_verdict.verdict")
@@ -57,8 +72,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_langid": op2_langid,
     "op3_shuffle": op3_shuffle,
     "op4_licenses": op4_licenses,
+    "op5_tokens": op5_tokens,
     "op6_urls": op6_urls,
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
