@@ -1,20 +1,47 @@
-"""Training-data pipeline over documents: a list of stages, each applying one operator."""
+"""Training-data pipeline over documents: five stages, each applying one operator to all its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgene.llm import simhash
+from loomgene.llm import decontaminate, mixing, quality, sharding, simhash
 from loomgene.llm.store import written
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned thresholds reject go."""
+    return quality.drop_low_quality(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
     return simhash.drop_near_duplicates(docs)
 
 
-STAGES = [("simhash near-dedup", near_duplicates)]
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated by benchmark items go; the others are left as they are."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it: not at all, once or twice."""
+    return mixing.mix(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in random order over shards; adds shard and slot."""
+    return sharding.shuffle(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("simhash near-dedup", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("mixing to target weights", target_mix),
+    ("sharding", shards),
+]
 
+#: SimHash fingerprints and the Fisher-Yates order can't be expressed in SQL.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, quality, sharding, simhash, tokens, urls
+from . import decontaminate, langid, licenses, lm, mixing, quality, sharding, simhash, tokens, urls
 from .store import written
 
 
@@ -70,6 +70,13 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_remainder(5) == 1, F.lit(False)))
+    model = lm.train(docs.where(~F.col("held_out")))
+    rows = lm.score(docs, model)
+    return rows.select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_langid": op2_langid,
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
+    "op10_lm": op10_lm,
 }
 
 ORACLE_SQL: dict[str, str] = {
