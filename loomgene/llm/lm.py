@@ -120,6 +120,7 @@ class Model:
     discounts: tuple[float, ...] = (0.75, 0.75, 0.75)
     lower: tuple[float, ...] = (0.75, 0.75, 0.75)
     pairs: int = 0
+    filled: frozenset = frozenset()  # buckets that have pairs
     left: float = 0.0  # mass that the lower order leaves to unseen words
 
     @property
@@ -164,9 +165,9 @@ def pair_counts(model: Model, keys: np.ndarray) -> np.ndarray:
     own, back = np.unique(keys, return_inverse=True)
     out = np.zeros(len(own), np.int64)
     for b, x, y in _by_bucket(own, model.bits):
-        table = _mapped(f"{model.uri}/pairs-{b}", "<u8")
-        if not len(table):
+        if b not in model.filled:
             continue
+        table = _mapped(f"{model.uri}/pairs-{b}", "<u8")
         at = np.minimum(np.searchsorted(table, own[x:y]), len(table) - 1)
         n = _mapped(f"{model.uri}/counts-{b}", "u1")[at].astype(np.int64)
         large = np.flatnonzero(n == 255)
@@ -287,9 +288,9 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
         group = (both // np.uint64(model.span)).astype(np.int64)
         edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(both)]
         rows = [(int(group[x]), pack(both[x:y], True), *(pack(c[x:y]) for c in cols)) for x, y in zip(edge, edge[1:]) if x < y]
-        #: Counts of counts go to a range of their own.
-        four = np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n)], np.uint64)
-        rows.append((-1, pack(np.arange(5, dtype=np.uint64), True), pack(four), *[pack(np.zeros(5, np.uint64))] * 4))
+        #: Counts of counts, and which buckets have pairs, go to a range of their own.
+        four = np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n), 1], np.uint64)
+        rows.append((-1, pack(np.array([0, 1, 2, 3, 4, 5 + b], np.uint64), True), pack(four), *[pack(np.zeros(6, np.uint64))] * 4))
         return pa.Table.from_batches([batch(rows, names, kinds)])
 
     starts = np.array(model.starts)
@@ -298,7 +299,7 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
         k = table.column("range")[0].as_py()
         keys, *cols = _merge(table, *names[2:])
         if k < 0:
-            return pa.table({"range": pa.array([k], pa.int32()), "n": pa.array([cols[0].astype(np.int64).tolist()], pa.list_(pa.int64()))})
+            return pa.table({"range": pa.array([k], pa.int32()), "n": pa.array([[*cols[0][:5].tolist(), *(keys[5:] - np.uint64(5)).tolist()]], pa.list_(pa.int64()))})
         first = k * model.span
         n = min(model.span, model.words + 1 - first)
         out = np.zeros((len(STATS) + 1, n), np.uint64)
@@ -322,7 +323,7 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
     partial = texts.mapInArrow(count_pairs, kind).groupBy("bucket").applyInArrow(write_pairs, "range int, keys binary, total binary, n1 binary, n2 binary, n3 binary, before binary")
     stats = partial.groupBy("range").applyInArrow(write_stats, "range int, n array<bigint>").collect()  # a row per range
     own = next(r.n for r in stats if r.range < 0)
-    model.discounts, model.pairs = _discounts(own), own[4]
+    model.discounts, model.pairs, model.filled = _discounts(own), own[4], frozenset(own[5:])
     low = [sum(r.n[i] for r in stats if r.range >= 0) for i in range(5)]
     model.lower = _discounts(low)
     three = low[4] - low[0] - low[1]

@@ -8,8 +8,8 @@ slot (`rows`: shards differ by one record at most, slots have no gap), so a lost
 again with the same result.
 
 Hot groups: copies with ids of their own scatter like any record. Rows that are equal in every
-column share a hash; a bucket that they swell beyond HOT times its size is dealt over sub-buckets
-by row number, which cannot be told apart afterwards.
+column share a hash; where they swell a bucket beyond HOT times its size they are dealt over
+sub-buckets by row number (only then the order also depends on how the input is partitioned).
 
 Nulls in any column are values like others (a null text has size 1). Maps, which have no hash, are
 carried along. An empty table gives an empty result.
@@ -17,8 +17,6 @@ carried along. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,13 +50,18 @@ def shuffle(df: DataFrame, text_col: str = "text", shards: int = SHARDS, seed: i
     buckets = max(LEAST_BUCKETS, -(-total // bucket_bytes))
     placed = hashed.withColumn("_bucket", F.pmod(F.col("_key"), F.lit(buckets)))
     counts = written(placed.groupBy("_bucket").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")), "buckets")
-    hot = {b: int(-(-n // bucket_bytes)) for b, n in counts.where(F.col("bytes") > HOT * bucket_bytes).select("_bucket", "bytes").collect()}  # at most total / (HOT * bucket_bytes) rows
+    #: At most total / (HOT * bucket_bytes) buckets, and as many keys: those of many equal rows.
+    hot = [b for (b,) in counts.where(F.col("bytes") > HOT * bucket_bytes).select("_bucket").collect()]
+    keys = []
     if hot:
-        parts = F.create_map(*[F.lit(x) for b, k in hot.items() for x in (b, k)])[F.col("_bucket")]
-        placed = placed.withColumn("_sub", F.coalesce(F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts), F.lit(0)))
-        counts = written(placed.groupBy("_bucket", "_sub").agg(F.count("*").alias("n")), "buckets")
-    else:
-        placed, counts = placed.withColumn("_sub", F.lit(0).cast("bigint")), counts.select("_bucket", F.lit(0).cast("bigint").alias("_sub"), "n")
+        sums = placed.where(F.col("_bucket").isin(hot)).groupBy("_key").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+        keys = [(k, int(-(-n // bucket_bytes))) for k, n in sums.where((F.col("n") > 1) & (F.col("bytes") > bucket_bytes)).select("_key", "bytes").collect()]
+    sub = F.lit(0).cast("bigint")
+    if keys:
+        parts = F.create_map(*[F.lit(x) for pair in keys for x in pair])[F.col("_key")]
+        sub = F.coalesce(1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts), sub)
+    placed = placed.withColumn("_sub", sub)
+    counts = written(placed.groupBy("_bucket", "_sub").agg(F.count("*").alias("n")), "buckets") if keys else counts.withColumn("_sub", sub)
     before = counts.selectExpr("_bucket", "_sub", "sum(n) over (order by _bucket, _sub) - n as _before")
     ready = placed.join(F.broadcast(before) if buckets <= 100_000 else before, ["_bucket", "_sub"])
     schema = T.StructType([*plain.schema.fields, T.StructField("_shard", T.IntegerType()), T.StructField("_slot", T.LongType())])

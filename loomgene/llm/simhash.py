@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import free_name, small_batches, written
+from .store import small_batches, written
 from .textcore import column_bytes
 
 SEED = 42
@@ -283,13 +283,15 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Of rows equal in every column one stays.
     """
-    key = free_name(df, "row_key")
-    keyed = df.withColumn(key, F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns]))
-    near = written(near_duplicates(keyed, id_col, text_col, [key], radius), "near")
-    pick = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", F.col(f"`{key}`").alias("k"))).alias("p")
+    own = [f"_r{i}" for i in range(len(df.columns))]
+    of = dict(zip(df.columns, own))
+    plain = df.toDF(*own)
+    keyed = plain.withColumn("_key", F.xxhash64(*[F.to_json(F.struct(c)) for c in own]))
+    near = written(near_duplicates(keyed, of[id_col], of[text_col], ["_key"], radius), "near")
+    pick = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", F.col("_key").alias("k"))).alias("p")
     kept = near.groupBy("root").agg(pick).select(F.col("p.k").alias("_keep"))
-    out = keyed.join(kept, F.col(f"`{key}`") == F.col("_keep"), "left_semi")
-    total, different = near.agg(F.count("*"), F.count_distinct(F.col(f"`{key}`"))).first()
+    out = keyed.join(kept, F.col("_key") == F.col("_keep"), "left_semi")
+    total, different = near.agg(F.count("*"), F.count_distinct("_key")).first()
     if total != different:
-        out = out.dropDuplicates([key])
-    return out.drop(key)
+        out = out.dropDuplicates(["_key"])
+    return out.select(*[F.col(o).alias(c) for o, c in zip(own, df.columns)])
