@@ -225,7 +225,7 @@ _Z = "CASE WHEN {b} <> 0 THEN {a} / {b} END"
 _RATIOS = f"""n, {_Z.format(a="same", b="n")} AS concordance, round({_Z.format(a="nonref_same", b="nonref")}, 6) AS nonref_concordance,
   round(CASE WHEN n * s_tt - s_t * s_t > 0 AND n * s_ii - s_i * s_i > 0 THEN (n * s_ti - s_t * s_i) * (n * s_ti - s_t * s_i) / ((n * s_tt - s_t * s_t) * (n * s_ii - s_i * s_i)) END, 6) AS r_squared,
   round(CASE WHEN n * s_tt - s_t * s_t > 0 THEN (n * s_ii - s_i * s_i) / (n * s_tt - s_t * s_t) END, 6) AS info, round({_Z.format(a="tp", b="(tp + fp)")}, 6) AS precision, round({_Z.format(a="tp", b="(tp + fn)")}, 6) AS recall,
-  round({_Z.format(a="2 * tp", b="(2 * tp + fp + fn)")}, 6) AS f1, round(s_sen / n, 6) AS sen""".replace("same / n END AS concordance", "same / n END AS concordance")
+  round({_Z.format(a="2 * tp", b="(2 * tp + fp + fn)")}, 6) AS f1, round(s_sen / n, 6) AS sen"""
 _R = ("nonref_concordance", "r_squared", "info", "precision", "recall", "f1", "sen")
 
 
@@ -234,9 +234,10 @@ def accuracy_overall(spark, d):
     return r6(metrics.accuracy(fx.pairs(spark, d)), *_R)
 
 
-@query(f"SELECT site, {_RATIOS} FROM (SELECT site, {_S} FROM pairs GROUP BY site)", "pairs")
+@query(f"SELECT site, {_RATIOS.replace(', 6)', ', 9)')} FROM (SELECT site, {_S} FROM pairs GROUP BY site)", "pairs")
 def accuracy_by_site(spark, d):
-    return r6(metrics.accuracy(fx.pairs(spark, d), "site"), *_R)
+    a = metrics.accuracy(fx.pairs(spark, d), "site")
+    return a.withColumns({c: F.round(c, 9) for c in _R})
 
 
 _SITES = f""", q AS (SELECT site, count(*) AS n, sum(t) / (2 * count(*)) AS p, count(*) FILTER (t = c) / count(*) AS same FROM pairs GROUP BY site),
@@ -368,4 +369,3 @@ def imputed_fields(spark, d):
     gp = gt.genotype_probabilities(F.array(1 - F.col("p1"), "p1"), F.array(1 - F.col("p2"), "p2"))
     a, b = gt.hard_call(F.col("p1"), F.col("p2"))
     out = t.select("l_orderkey", "l_linenumber", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p1") + F.col("p2"))).alias("ds"), F.concat_ws("|", a.cast("string"), b.cast("string")).alias("gt"), *[F.get(gp, F.lit(k)).alias(f"gp{k}") for k in range(3)])
-    return r6(out, "ds", "gp0", "gp1", "gp2")
