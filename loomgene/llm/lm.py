@@ -128,7 +128,7 @@ class Model:
         return self.starts[-1] if self.starts else 0
 
 
-@functools.lru_cache(4096)
+@functools.lru_cache(1 << 16)
 def _mapped(uri: str, dtype: str) -> np.ndarray:
     return map_file(uri, np.dtype(dtype))
 

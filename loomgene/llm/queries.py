@@ -34,7 +34,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shuffle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint") + 1
-    return rows.select("doc_id", size.alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
