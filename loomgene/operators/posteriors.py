@@ -80,3 +80,33 @@ def expected_matches(rows: DataFrame, posterior: str = "posterior") -> DataFrame
     """(match, mismatch) expected over states 0 and 1 for orientations o: the emission part of an EM step."""
     p = F.when(F.col("o") == 1, F.col(posterior)).otherwise(1 - F.col(posterior))
     return rows.agg(F.sum(p).alias("match"), F.sum(1 - p).alias("mismatch"))
+
+
+def unlisted_mass(states: int, listed: Column, noise_a: Column, noise_b: Column, frequency: Column) -> Column:
+    """Weight of states that a sparse list leaves out: each has both anchors' noise, spread over alleles by frequency."""
+    return (states - listed) * noise_a * noise_b * frequency
+
+
+def informative(conf: Column, a1: Column, a2: Column, partner: Column) -> Column:
+    """A call that tells something about a haplotype given its partner's allele: confident, complete, and with the partner's allele in it."""
+    return F.coalesce((conf >= 0.05) & a1.isNotNull() & a2.isNotNull() & ((partner == a1) | (partner == a2)), F.lit(False))
+
+
+def call_status(a1: Column, a2: Column, phased: Column) -> Column:
+    """`missing`, `homozygous`, `phased` or `unphased`."""
+    return F.when(a1.isNull() | a2.isNull(), "missing").when(a1 == a2, "homozygous").when(phased, "phased").otherwise("unphased")
+
+
+def typed_calls(calls: DataFrame) -> DataFrame:
+    """Calls with any allele: a sample's own typed sites."""
+    return calls.where(F.col("a1").isNotNull() | F.col("a2").isNotNull())
+
+
+def sortable_sites(haps: DataFrame, keys: list[str], batch: Column) -> DataFrame:
+    """(keys, batch): sites at which some haplotype of a batch has one of the two first alleles, so that sorting by them tells something."""
+    return haps.withColumn("batch", batch).groupBy(*keys, "batch").agg(F.max(F.coalesce(F.col("allele") < 2, F.lit(False))).alias("_any")).where("_any").select(*keys, "batch")
+
+
+def log_likelihood(scales: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, loglik): log of the product of the forward pass's scales."""
+    return scales.groupBy(*keys).agg(F.sum(F.ln("scale")).alias("loglik"))

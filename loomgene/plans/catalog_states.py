@@ -113,7 +113,7 @@ def call_rates(spark, d):
 @query()
 def em_matches(spark, d):
     h = fx.hets(spark, d)
-    return r6(posteriors.expected_matches(h.join(hmm.two_state(h).toDF("s", "q", "forward", "posterior"), (F.col("s") == F.col("sample")) & (F.col("q") == F.col("pos")))), "match", "mismatch")
+    return r6(posteriors.expected_matches(h.join(hmm.two_state(h).toDF("s", "q", "scale", "forward", "posterior"), (F.col("s") == F.col("sample")) & (F.col("q") == F.col("pos")))), "match", "mismatch")
 
 
 @query("SELECT site, sample, coalesce(maf, 0.5) AS maf FROM pairs LEFT JOIN (SELECT m, round(least(avg(allele), 1 - avg(allele)), 6) AS maf FROM panel GROUP BY m HAVING avg(allele) > 0 AND avg(allele) < 1) f ON site = m", "pairs", "panel")
@@ -140,3 +140,38 @@ SELECT chrom, pos, maf_bin FROM w WHERE keep"""
 def masked_sites(spark, d):
     c = frequency.allele_counts(fx.panel(spark, d), ["chrom", "pos"]).withColumn("maf_bin", quality.maf_bin(F.col("maf")))
     return metrics.spaced_picks(c, 0.3)
+
+
+@query("SELECT m, sample, CASE WHEN a1 IS NULL OR a2 IS NULL THEN 'missing' WHEN a1 = a2 THEN 'homozygous' WHEN sample % 2 = 0 THEN 'phased' ELSE 'unphased' END AS status FROM calls", "calls")
+def call_status(spark, d):
+    return fx.calls(spark, d).select("m", "sample", posteriors.call_status(F.col("a1"), F.col("a2"), F.col("sample") % 2 == 0).alias("status"))
+
+
+@query("SELECT m, sample FROM calls WHERE a1 IS NOT NULL OR a2 IS NOT NULL", "calls")
+def typed_calls(spark, d):
+    return posteriors.typed_calls(fx.calls(spark, d)).select("m", "sample")
+
+
+@query("SELECT m, sample // 4 AS batch FROM calls GROUP BY ALL HAVING count(a1) + count(a2) > 0", "calls")
+def sortable_sites(spark, d):
+    haps = fx.calls(spark, d).select("m", "sample", F.explode(F.array("a1", "a2")).alias("allele"))
+    return posteriors.sortable_sites(haps, ["m"], F.expr("sample div 4"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((1600 - l_suppkey) * (1 - exp(-l_discount)) / 1600 * l_tax * l_quantity / 50, 6) AS mass, coalesce(l_discount >= 0.05 AND (l_linenumber % 2 = 0 OR l_linenumber % 2 = l_suppkey % 2), false) AS informative FROM lineitem")
+def unlisted_mass(spark, d):
+    t = spark.read.parquet(f"{d}/lineitem.parquet")
+    mass = posteriors.unlisted_mass(1600, F.col("l_suppkey"), (1 - F.exp(-F.col("l_discount"))) / 1600, F.col("l_tax"), F.col("l_quantity") / 50)
+    known = posteriors.informative(F.col("l_discount"), F.lit(0), F.col("l_suppkey") % 2, F.col("l_linenumber") % 2)
+    return r6(t.select("l_orderkey", "l_linenumber", mass.alias("mass"), known.alias("informative")), "mass")
+
+
+@query(
+    """, o AS (SELECT sample, pos, CASE o WHEN 1 THEN 0.9 ELSE 0.1 END::DOUBLE AS e1, row_number() OVER (PARTITION BY sample ORDER BY pos) AS k FROM hets),
+f AS (SELECT sample, k, e1 AS p, 0.5::DOUBLE AS c FROM o WHERE k = 1 UNION ALL
+  SELECT o.sample, o.k, e1 * (0.9 * p + 0.05) / (e1 * (0.9 * p + 0.05) + (1 - e1) * (0.9 * (1 - p) + 0.05)), e1 * (0.9 * p + 0.05) + (1 - e1) * (0.9 * (1 - p) + 0.05) FROM f JOIN o ON o.sample = f.sample AND o.k = f.k + 1)
+SELECT sample, round(sum(ln(c)), 6) AS loglik FROM f GROUP BY sample""",
+    "hets",
+)
+def log_likelihood(spark, d):
+    return r6(posteriors.log_likelihood(hmm.two_state(fx.hets(spark, d)), ["sample"]), "loglik")

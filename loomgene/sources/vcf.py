@@ -46,6 +46,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 1) -> DataFrame:
+    """(value) of VCF files as they arrive in a folder; records() and decode_gt() work on it as on a batch."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
+
+
 def samples(text: DataFrame) -> DataFrame:
     """(sample_idx, sample_id) from the #CHROM line; more than one such line, or none, is an error when rows are read."""
     head = text.where("startswith(value, '#CHROM')").limit(1)

@@ -242,3 +242,20 @@ def test_empty_and_lone():
     assert phase_window(none, none, np.empty(0))[0].shape == (0, 0)
     h1, h2 = phase_window(np.array([[0], [255]]), np.array([[1], [255]]), np.array([0.0, 1.0]))
     assert h1[0, 0] + h2[0, 0] == 1 and h1[1, 0] in (0, 1)
+
+
+def test_matches_with_an_allele_and_greedy_turns():
+    founders = np.array([[0, 1], [1, 0], [0, 1], [1, 0], [1, 0]])
+    haps = founders[:, [0, 0, 1, 1, 0, 1]]
+    order, start = np.arange(6), np.zeros(6, np.int64)
+    for m in range(4):
+        order, start = pbwt.step(order, start, haps[m], m)
+    rank = int(np.flatnonzero(order == 4)[0])
+    assert pbwt.match_with_allele(order, start, 4, rank, 1, haps[4]) == 4 and pbwt.match_with_allele(order, start, 4, rank, 0, haps[4]) == 0
+    turned = haps.copy()
+    turned[2:, 4], turned[2:, 5] = haps[2:, 5], haps[2:, 4]
+    free = np.zeros((5, 3), bool)
+    free[:, 2] = True
+    fixed = pbwt.rephase_greedily(turned, free)
+    assert (fixed == haps).all()
+    assert pbwt.combined_neighbours([8, 9, 2], [2, 6], [7, 3], 1, 4) == [8, 9, 6, 7]

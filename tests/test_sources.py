@@ -99,3 +99,14 @@ def test_binary_panel_round_trip(spark, tmp_path):
         stream = io.BytesIO(data[:-30])
         bref3.read_header(stream)
         list(bref3.read_blocks(stream, 10))
+
+
+def test_stream_of_files_equals_batch(spark, path, tmp_path):
+    import shutil
+
+    (tmp_path / "in").mkdir()
+    shutil.copy(path, tmp_path / "in" / "a.vcf")
+    stream = vcf.records(vcf.stream_lines(spark, str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("vcf_records").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted(r.pos for r in spark.table("vcf_records").collect()) == [50, 100, 200, 300]
