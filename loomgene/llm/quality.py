@@ -25,7 +25,7 @@ SKETCH_BITS = 6
 FENCE = 3
 LEAST_ROWS = 100
 #: Of each rate the least distance of its fence from the quartile, and the sides that are judged.
-SLACK = {"symbol_rate": (150, "high"), "repeat_rate": (250, "high"), "dup_line_rate": (600, "high"), "upper_rate": (300, "high"), "word_length": (250, "both")}
+SLACK = {"symbol_rate": (150, "high"), "repeat_rate": (400, "high"), "dup_line_rate": (600, "high"), "upper_rate": (300, "high"), "word_length": (250, "both")}
 #: Characters counted as symbols
 SYMBOLS = b"#*$%&|<>"
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper")
