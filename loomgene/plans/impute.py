@@ -13,13 +13,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.genotype import format_4dp
+from ..functions.genotype import format_4dp, genotype_probabilities
 from ..functions.model import mismatch_probability, recombination_intensity
 from ..operators import hmm, pbwt, quality, segmentation, states
 
 
-def bridged(prob: np.ndarray, anchor: np.ndarray, at: np.ndarray, alleles: np.ndarray, rho: float) -> np.ndarray:
-    """ALT probability at markers (positions `at`) from state probabilities at anchors.
+def bridged(prob: np.ndarray, anchor: np.ndarray, at: np.ndarray, alleles: np.ndarray, rho: float, alt: int = 1) -> np.ndarray:
+    """Probability of allele `alt` at markers (positions `at`) from state probabilities at anchors.
 
     Between two anchors a state's weight is the product of what is kept from either side; beyond the first
     and last one side remains. prob: anchors x haplotypes x states; alleles: markers x states (255: missing).
@@ -38,19 +38,18 @@ def bridged(prob: np.ndarray, anchor: np.ndarray, at: np.ndarray, alleles: np.nd
         a = alleles[m]
         known = a != 255
         total = (w * known).sum(-1)
-        out[m] = np.where(total > 0, (w * (known & (a > 0))).sum(-1) / np.where(total > 0, total, 1), 0.0)
+        out[m] = np.where(total > 0, (w * (a == alt)).sum(-1) / np.where(total > 0, total, 1), 0.0)
     return out
 
 
-def impute_window(panel: np.ndarray, gen: np.ndarray, target: np.ndarray, typed: np.ndarray, ne: float, err: float, k: int, cluster: float, neighbours: int = 12) -> np.ndarray:
-    """ALT probability of each target haplotype at each marker; panel and target: markers x haplotypes.
+def impute_window(panel: np.ndarray, gen: np.ndarray, target: np.ndarray, typed: np.ndarray, ne: float, err: float, k: int, cluster: float, neighbours: int = 12, alts: int = 1) -> np.ndarray:
+    """Probabilities of ALT alleles 1..alts: alts x markers x target haplotypes; panel and target: markers x haplotypes.
 
     Typed calls stay as they are. Without any typed marker the panel's frequencies are given.
     """
     n_ref = panel.shape[1]
-    present = panel != 255
-    freq = np.where(present.any(1), (present & (panel > 0)).sum(1) / np.maximum(present.sum(1), 1), 0.0)
-    out = np.repeat(freq[:, None], target.shape[1], 1)
+    present = np.maximum((panel != 255).sum(1), 1)
+    out = np.stack([np.repeat(((panel == a).sum(1) / present)[:, None], target.shape[1], 1) for a in range(1, alts + 1)])
     rows = np.flatnonzero(typed)
     if len(rows) and n_ref:
         rho = recombination_intensity(ne, n_ref)
@@ -75,22 +74,27 @@ def impute_window(panel: np.ndarray, gen: np.ndarray, target: np.ndarray, typed:
             e = hmm.cluster_log_emissions(target[np.ix_(rows, js)], panel[np.ix_(rows, chosen)], start, err)
             e = np.exp(np.maximum(e - e.max(-1, keepdims=True), -80))
             prob, _ = hmm.posteriors(e, r)
-            out[:, js] = bridged(prob, centre, gen, panel[:, chosen], rho)
+            for a in range(1, alts + 1):
+                at = np.arange(len(gen)) if a == 1 else np.flatnonzero((np.where(panel == 255, 0, panel) >= a).any(1))
+                if len(at):
+                    out[a - 1][np.ix_(at, js)] = bridged(prob, centre, gen[at], panel[np.ix_(at, chosen)], rho, a)
     known = target != 255
-    return np.where(known, (target > 0).astype(float), out)
+    return np.where(known, np.stack([target == a for a in range(1, alts + 1)]).astype(float), out)
 
 
 def impute(panel: DataFrame, target: DataFrame, markers: DataFrame, n_ref: int, ne: float = 1e5, err: float | None = None, imp_states: int = 1600, cluster: float = 0.005, window: float = 40.0, overlap: float = 2.0, batch: int = 500) -> DataFrame:
-    """(chrom, pos, hap, p, typed): ALT probability of every target haplotype at every marker.
+    """(chrom, pos, alt, hap, p, typed): probability of each ALT allele (1, 2 ...) of every target haplotype at every marker.
 
+    A marker has as many rows for a haplotype as the column n_alts of markers says (1 without that column).
     panel: chrom, pos, hap, allele; target: the same, only present calls (hap // batch is a kernel's batch);
     markers: chrom, pos, gen_pos.
     """
     import pandas as pd
 
     err = mismatch_probability(n_ref) if err is None else err
+    markers = markers if "n_alts" in markers.columns else markers.withColumn("n_alts", F.lit(1))
     wins = segmentation.windows(markers, window, overlap)
-    placed = markers.join(F.broadcast(wins), "chrom").where("pos >= first and pos <= last").select("chrom", "window_id", "pos", "gen_pos", ((F.col("pos") >= F.col("out_first")) & (F.col("pos") <= F.col("out_last"))).alias("inside"))  # a row per window of 40 cM: a genome has under 200
+    placed = markers.join(F.broadcast(wins), "chrom").where("pos >= first and pos <= last").select("chrom", "window_id", "pos", "gen_pos", "n_alts", ((F.col("pos") >= F.col("out_first")) & (F.col("pos") <= F.col("out_last"))).alias("inside"))  # a row per window of 40 cM: a genome has under 200
     batches = target.select("chrom", F.expr(f"hap div {2 * batch}").alias("batch")).distinct()
     cells = lambda df: F.array_sort(F.collect_list(F.struct("hap", F.coalesce(F.col("allele"), F.lit(255)).cast("int").alias("a"))))
     ref = panel.groupBy("chrom", "pos").agg(F.transform(cells(panel), lambda c: c.a).alias("alleles"))
@@ -100,7 +104,7 @@ def impute(panel: DataFrame, target: DataFrame, markers: DataFrame, n_ref: int,
     left = left.join(names, ["chrom", "batch"])
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cols = ["chrom", "pos", "hap", "p", "typed"]
+        cols = ["chrom", "pos", "alt", "hap", "p", "typed"]
         if not len(a):
             return pd.DataFrame(columns=cols)
         a = a.sort_values("pos")
@@ -109,34 +113,52 @@ def impute(panel: DataFrame, target: DataFrame, markers: DataFrame, n_ref: int,
         if len(b):
             own[np.searchsorted(pos, b["pos"].to_numpy()), np.searchsorted(haps, b["hap"].to_numpy())] = b["allele"].fillna(255).to_numpy()
         typed = (own != 255).any(1)
-        p = impute_window(np.array(a["alleles"].tolist()), a["gen_pos"].to_numpy(), own, typed, ne, err, imp_states, cluster)
-        keep = np.flatnonzero(a["inside"].to_numpy())
-        return pd.DataFrame({"chrom": a["chrom"].iloc[0], "pos": np.repeat(pos[keep], len(haps)), "hap": np.tile(haps, len(keep)), "p": p[keep].ravel(), "typed": np.repeat(typed[keep], len(haps))})[cols]
+        n_alts = a["n_alts"].to_numpy()
+        p = impute_window(np.array(a["alleles"].tolist()), a["gen_pos"].to_numpy(), own, typed, ne, err, imp_states, cluster, alts=max(1, int(n_alts.max())))
+        parts = []
+        for alt in range(1, len(p) + 1):
+            keep = np.flatnonzero(a["inside"].to_numpy(bool) & (n_alts >= alt))
+            parts.append(pd.DataFrame({"chrom": a["chrom"].iloc[0], "pos": np.repeat(pos[keep], len(haps)), "alt": alt, "hap": np.tile(haps, len(keep)), "p": p[alt - 1][keep].ravel(), "typed": np.repeat(typed[keep], len(haps))}))
+        return pd.concat(parts)[cols]
 
     keys = ["chrom", "window_id", "batch"]
     right = right.toDF(*right.columns)  # columns of its own: both sides come from the same markers
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one, "chrom string, pos bigint, hap bigint, p double, typed boolean")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(one, "chrom string, pos bigint, alt int, hap bigint, p double, typed boolean")
 
 
 def genotypes(probs: DataFrame) -> DataFrame:
-    """(chrom, pos, sample, gt, ds, ap1, ap2, typed): both haplotypes of a sample."""
-    s = probs.groupBy("chrom", "pos", F.expr("hap div 2").alias("sample")).agg(F.max(F.when(F.col("hap") % 2 == 0, F.col("p"))).alias("ap1"), F.max(F.when(F.col("hap") % 2 == 1, F.col("p"))).alias("ap2"), F.max("typed").alias("typed"))
-    call = F.concat_ws("|", (F.col("ap1") >= 0.5).cast("int").cast("string"), (F.col("ap2") >= 0.5).cast("int").cast("string"))
-    return s.select("chrom", "pos", "sample", call.alias("gt"), (F.col("ap1") + F.col("ap2")).alias("ds"), "ap1", "ap2", "typed")
+    """(chrom, pos, sample, gt, ds, ap1, ap2, typed): ds, ap1 and ap2 have a value per ALT allele.
+
+    A haplotype's call is its most probable allele; of equal ones the last, so that a tie is ALT.
+    """
+    cells = F.array_sort(F.collect_list(F.struct("alt", "p")))
+    haps = probs.groupBy("chrom", "pos", "hap").agg(F.transform(cells, lambda c: c.p).alias("ap"), F.max("typed").alias("typed"))
+    s = haps.groupBy("chrom", "pos", F.expr("hap div 2").alias("sample")).agg(F.max(F.when(F.col("hap") % 2 == 0, F.col("ap"))).alias("ap1"), F.max(F.when(F.col("hap") % 2 == 1, F.col("ap"))).alias("ap2"), F.max("typed").alias("typed"))
+
+    def call(ap: str):
+        pmf = F.concat(F.array(1 - F.aggregate(ap, F.lit(0.0), lambda a, x: a + x)), F.col(ap))
+        multi = F.size(pmf) - F.array_position(F.reverse(pmf), F.array_max(pmf))
+        return F.when(F.size(ap) == 1, (F.get(ap, F.lit(0)) >= 0.5).cast("int")).otherwise(multi).cast("string")
+
+    ds = F.zip_with("ap1", "ap2", lambda a, b: a + b)
+    return s.select("chrom", "pos", "sample", F.concat_ws("|", call("ap1"), call("ap2")).alias("gt"), ds.alias("ds"), "ap1", "ap2", "typed")
 
 
 def site_report(probs: DataFrame) -> DataFrame:
-    """(chrom, pos, af, dr2, imputed) over all output markers."""
-    q = quality.site_quality(probs, ["chrom", "pos"])
-    return q.join(probs.groupBy("chrom", "pos").agg((~F.max("typed")).alias("imputed")), ["chrom", "pos"]).select("chrom", "pos", "af", "dr2", "imputed")
+    """(chrom, pos, af, dr2, imputed) over all output markers; af and dr2 have a value per ALT allele."""
+    q = quality.site_quality(probs, ["chrom", "pos", "alt"])
+    by_alt = F.array_sort(F.collect_list(F.struct("alt", "af", "dr2")))
+    values = q.groupBy("chrom", "pos").agg(by_alt.alias("v")).select("chrom", "pos", F.transform("v", lambda v: v.af).alias("af"), F.transform("v", lambda v: v.dr2).alias("dr2"))
+    return values.join(probs.groupBy("chrom", "pos").agg((~F.max("typed")).alias("imputed")), ["chrom", "pos"])
 
 
 def sample_text(gp: bool = False, ap: bool = False):
-    """The text of a sample's field: GT:DS[:GP][:AP1:AP2]."""
-    a, b = F.col("ap1"), F.col("ap2")
-    parts = ["gt", format_4dp(F.col("ds"))]
+    """The text of a sample's field: GT:DS[:GP][:AP1:AP2], a value per ALT allele (GP: per genotype)."""
+    listed = lambda c: F.array_join(F.transform(c, format_4dp), ",")
+    pmf = lambda c: F.concat(F.array(1 - F.aggregate(c, F.lit(0.0), lambda a, x: a + x)), F.col(c))
+    parts = [F.col("gt"), listed("ds")]
     if gp:
-        parts.append(F.concat_ws(",", format_4dp((1 - a) * (1 - b)), format_4dp(a * (1 - b) + (1 - a) * b), format_4dp(a * b)))
+        parts.append(listed(genotype_probabilities(pmf("ap1"), pmf("ap2"))))
     if ap:
-        parts += [format_4dp(a), format_4dp(b)]
-    return F.concat_ws(":", *[F.col(p) if isinstance(p, str) else p for p in parts])
+        parts += [listed("ap1"), listed("ap2")]
+    return F.concat_ws(":", *parts)

@@ -102,8 +102,9 @@ def impute_file(spark: SparkSession, c: Config) -> str:
         panel = haps.select("chrom", F.col("pos").cast("bigint").alias("pos"), "hap", "allele")
         rows = ph.phase(rows, gen.join(rows.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi"), panel, c.window, c.overlap, burnin=min(3, c.burnin), iterations=min(6, c.iterations), k=c.phase_states, ne=c.ne, err=err, seed=c.seed).join(known, ["chrom", "pos", "sample"], "left_semi")
     both = F.array(F.struct((F.col("sample") * 2).alias("hap"), F.col("a1").alias("allele")), F.struct((F.col("sample") * 2 + 1).alias("hap"), F.col("a2").alias("allele")))
-    target = rows.select("chrom", "pos", F.explode(both).alias("h")).select("chrom", "pos", "h.hap", F.least("h.allele", F.lit(1)).alias("allele"))
-    probs = keep_once(im.impute(haps.select("chrom", F.col("pos").cast("bigint").alias("pos"), F.col("hap").cast("bigint").alias("hap"), F.least("allele", F.lit(1)).alias("allele")), target, gen, n_ref, c.ne, err, c.imp_states, c.cluster, c.window, c.overlap))
+    target = rows.select("chrom", "pos", F.explode(both).alias("h")).select("chrom", "pos", "h.hap", "h.allele")
+    alts = ref_sites.select("chrom", F.col("pos").cast("bigint").alias("pos"), F.greatest(F.size("alts"), F.lit(1)).alias("n_alts"))
+    probs = keep_once(im.impute(haps.select("chrom", F.col("pos").cast("bigint").alias("pos"), F.col("hap").cast("bigint").alias("hap"), "allele"), target, gen.join(alts, ["chrom", "pos"]), n_ref, c.ne, err, c.imp_states, c.cluster, c.window, c.overlap))
     q = im.site_report(probs)
     info = writers.quality_info(F.col("af"), F.col("dr2"), F.col("imputed"))
     out_sites = ref_sites.withColumn("pos", F.col("pos").cast("bigint")).join(q, ["chrom", "pos"]).withColumn("info", info)

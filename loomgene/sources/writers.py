@@ -39,8 +39,9 @@ def rows(sites: DataFrame, cells: DataFrame, form: str = "GT") -> DataFrame:
 
 
 def quality_info(af, dr2, imputed):
-    """INFO text of an imputed site."""
-    return F.concat(F.lit("DR2="), format_4dp(dr2), F.lit(";AF="), format_4dp(af), F.when(imputed, F.lit(";IMP")).otherwise(F.lit("")))
+    """INFO text of an imputed site; af and dr2 are arrays with a value per ALT allele."""
+    listed = lambda c: F.array_join(F.transform(c, format_4dp), ",")
+    return F.concat(F.lit("DR2="), listed(dr2), F.lit(";AF="), listed(af), F.when(imputed, F.lit(";IMP")).otherwise(F.lit("")))
 
 
 def write_vcf(lines: DataFrame, head: list[str], path: str, compression: str = "gzip") -> None:
