@@ -24,7 +24,7 @@ from .store import small_batches, written
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Lengths are summed in blocks of 2 ** BLOCK_BITS.
-BLOCK_BITS = 10
+BLOCK_BITS = 7
 
 
 @functools.lru_cache(4)
