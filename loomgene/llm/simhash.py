@@ -8,9 +8,10 @@ the exact sizes of its own buckets and the bits' frequencies over all fingerprin
 the chosen neighbourhoods in the index of part values, and candidates are verified.
 
 Where every choice is dear (thousands of near copies share all buckets) the radius is split between
-both sides instead: each such fingerprint names the points within radius // 2 (and the rest) of
-itself, and two that are within the radius name a common point. Those rows are linear in the number
-of fingerprints, so no bucket is ever expanded into its pairs, and no link is lost.
+both sides instead: each such fingerprint names the points within radius // 2 of itself (near) and,
+if the radius is odd, those one bit further (far). Two that are within the radius name a common
+point, one of them nearly, and any two that do so are within the radius. Those rows are linear in
+the number of fingerprints, so no bucket is ever expanded into its pairs, and no link is lost.
 
 Nulls: a null text has no words and the fingerprint zero; rows with a null id take part, and a
 component's id is its smallest id that is not null (null if there is none). Repeated rows are kept
@@ -186,7 +187,8 @@ def links(distinct: DataFrame, radius: int = 2, parts: int | None = None, dear:
     balls, widths = [ball_estimates(n, both, g, radius) for g in groups], [len(g) for g in groups]
     flips = [_flips(g, radius) for g in groups]
     ends = [[sum(1 for f in fl if f.bit_count() <= e) for e in range(radius + 1)] for fl in flips]
-    near = _flips(list(range(64)), (radius + 1) // 2)
+    near = _flips(list(range(64)), radius // 2)
+    far = [f for f in _flips(list(range(64)), (radius + 1) // 2) if f.bit_count() > radius // 2]
 
     part_of = F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")) for i, mask in enumerate(masks)])
     index = distinct.select("fp", F.explode(part_of).alias("p")).select("p.part", "p.key", "fp")
@@ -195,7 +197,7 @@ def links(distinct: DataFrame, radius: int = 2, parts: int | None = None, dear:
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         u = [np.array(fl, np.uint64) for fl in flips]
-        um, un = np.array([x & (1 << 64) - 1 for x in masks], np.uint64), np.array(near, np.uint64)
+        um, un = np.array([x & (1 << 64) - 1 for x in masks], np.uint64), [np.array(x, np.uint64) for x in (near, far)]
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             size = np.stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(m)], 1).astype(np.float64)
@@ -210,9 +212,10 @@ def links(distinct: DataFrame, radius: int = 2, parts: int | None = None, dear:
                     owners.append(np.repeat(at, len(near_i)))
                     kinds.append(np.full(len(at) * len(near_i), i))
             at = fp[hot]
-            keys.append((at[:, None] ^ un).ravel())
-            owners.append(np.repeat(at, len(un)))
-            kinds.append(np.full(len(at) * len(un), m))
+            for i, flip in enumerate(un):
+                keys.append((at[:, None] ^ flip).ravel())
+                owners.append(np.repeat(at, len(flip)))
+                kinds.append(np.full(len(at) * len(flip), m + i))
             k, o, p = np.concatenate(keys), np.concatenate(owners), np.concatenate(kinds)
             for x in range(0, len(k), 1 << 17):
                 y = slice(x, x + (1 << 17))
@@ -226,8 +229,8 @@ def links(distinct: DataFrame, radius: int = 2, parts: int | None = None, dear:
         .select(F.least("owner", "fp").alias("a"), F.greatest("owner", "fp").alias("b"))
     )
     #: A point has at most as many owners as points lie around it.
-    point = probes.where(F.col("part") == m).groupBy("key").agg(F.collect_set("owner").alias("at")).where(F.size("at") > 1)
-    tied = point.select(F.array_min("at").alias("a"), F.explode("at").alias("b")).where("a <> b")
+    named = probes.where(F.col("part") >= m).groupBy("key").agg(F.array_min(F.collect_set(F.when(F.col("part") == m, F.col("owner")))).alias("a"), F.collect_set("owner").alias("at"))
+    tied = named.where(F.col("a").isNotNull() & (F.size("at") > 1)).select("a", F.explode("at").alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return found.unionByName(tied).distinct()
 
 

@@ -110,8 +110,8 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == simhash.drop_near_duplicates(empty).count() == 0
 
 
-@pytest.mark.parametrize("dear,parts", [(0, None), (60, None), (1e9, None), (1e9, 2), (100, 4)])
-def test_simhash_links_lose_nothing(spark, dear, parts):
+@pytest.mark.parametrize("dear,parts,radius", [(0, None, 2), (60, None, 2), (1e9, None, 2), (1e9, 2, 2), (100, 4, 2), (0, None, 1), (0, None, 3), (300, 2, 3)])
+def test_simhash_links_lose_nothing(spark, dear, parts, radius):
     rng = random.Random(3)
     fps = set()
     for _ in range(12):
@@ -125,11 +125,11 @@ def test_simhash_links_lose_nothing(spark, dear, parts):
     fps |= {hub ^ 1 << i for i in range(64)} | {0, (1 << 64) - 1}
     fps = sorted(fps)
     distinct = spark.createDataFrame([(f - (1 << 64) if f >= 1 << 63 else f,) for f in fps], "fp long")
-    edges = simhash.links(distinct, 2, parts, dear)
+    edges = simhash.links(distinct, radius, parts, dear)
     for a, b in edges.collect():
-        assert ((a ^ b) % (1 << 64)).bit_count() <= 2
+        assert ((a ^ b) % (1 << 64)).bit_count() <= radius
     roots = {r.node % (1 << 64): r.root for r in simhash.components(edges).collect()}
-    want = closure(fps, 2)
+    want = closure(fps, radius)
     got: dict = {}
     for f, k in zip(fps, want):
         got.setdefault(k, set()).add(roots.get(f, f"alone {f}"))
