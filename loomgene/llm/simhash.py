@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import small_batches, written
 from .textcore import column_bytes
@@ -289,7 +290,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     own = [f"_r{i}" for i in range(len(df.columns))]
     of = dict(zip(df.columns, own))
     plain = df.toDF(*own)
-    keyed = plain.withColumn("_key", F.xxhash64(*[F.to_json(F.struct(c)) for c in own]))
+    #: Maps have no hash of their own; NULL is told from other values.
+    value = lambda f: F.to_json(F.col(f.name)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f.name)
+    keyed = plain.withColumn("_key", F.xxhash64(*[c for f in plain.schema for c in (F.isnull(f.name), value(f))]))
     near = written(near_duplicates(keyed, of[id_col], of[text_col], ["_key"], radius), "near")
     pick = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", F.col("_key").alias("k"))).alias("p")
     kept = near.groupBy("root").agg(pick).select(F.col("p.k").alias("_keep"))
