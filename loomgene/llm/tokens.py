@@ -76,10 +76,9 @@ def at_limits(sums: DataFrame, limits: DataFrame, limit_col: str = "limit") -> D
     The next longer length that occurs answers: between lengths the suffix sums do not change.
     """
     marks = sums.selectExpr("n_tokens as at", "docs_at_least", "tokens_at_least", "total", "cast(null as bigint) as asked").unionByName(limits.select((F.col(limit_col) + 1).cast("bigint").alias("at"), *[F.lit(None).cast("bigint").alias(c) for c in ("docs_at_least", "tokens_at_least", "total")], F.col(limit_col).cast("bigint").alias("asked")))
-    total = sums.agg(F.max("total").alias("every"))
     w = "over (order by at desc, asked nulls first)"
-    run = marks.selectExpr("asked", f"coalesce(last(docs_at_least, true) {w}, 0) as n", f"coalesce(last(tokens_at_least, true) {w}, 0) as t")
-    return run.where("asked is not null").crossJoin(F.broadcast(total)).selectExpr("asked as limit", "n as docs_longer", "coalesce(every, 0) - t + asked * n as truncated_total")
+    run = marks.selectExpr("asked", f"coalesce(last(docs_at_least, true) {w}, 0) as n", f"coalesce(last(tokens_at_least, true) {w}, 0) as t", "coalesce(max(total) over (), 0) as every")
+    return run.where("asked is not null").selectExpr("asked as limit", "n as docs_longer", "every - t + asked * n as truncated_total")
 
 
 def token_counts(df: DataFrame, text_col: str = "text", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
