@@ -68,7 +68,8 @@ def segments(pairs: DataFrame, steps: DataFrame, most_gap: float = 4.0) -> DataF
 def extend(segs: DataFrame, calls: DataFrame) -> DataFrame:
     """Segments stretched over neighbouring markers as long as the pair's genotypes are compatible.
 
-    The nearest incompatible marker on either side bounds a segment; the chromosome's ends do otherwise.
+    The nearest incompatible marker on either side bounds a segment; the chromosome's ends do otherwise. Runs
+    of compatible markers are numbered, so that a segment finds its own by equality of its ends.
     """
     pairs = segs.select("chrom", "sample", "other").distinct()
     a = calls.select("chrom", "pos", "gen", F.col("sample"), "a1", "a2")
@@ -76,10 +77,12 @@ def extend(segs: DataFrame, calls: DataFrame) -> DataFrame:
     both = pairs.join(a, ["chrom", "sample"]).join(b, ["chrom", "pos", "other"])
     marked = both.withColumn("ok", F.coalesce(genotypes_compatible(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2")), F.lit(True)))
     w = W.partitionBy("chrom", "sample", "other").orderBy("pos")
-    run = marked.withColumn("_run", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(w)).where("ok").groupBy("chrom", "sample", "other", "_run").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"), F.min("gen").alias("_g1"), F.max("gen").alias("_g2"))
-    hit = segs.join(run, ["chrom", "sample", "other"], "left").where((F.col("_first") <= F.col("first")) & (F.col("_last") >= F.col("first")) | F.col("_first").isNull())
-    tail = segs.select("chrom", "sample", "other", "first", "last").join(run.select("chrom", "sample", "other", F.col("_first").alias("_f2"), F.col("_last").alias("_l2"), F.col("_g2").alias("_e2")), ["chrom", "sample", "other"]).where("_f2 <= last and _l2 >= last")
-    return hit.join(tail, ["chrom", "sample", "other", "first", "last"]).select("chrom", "sample", "other", F.col("_first").alias("first"), F.col("_l2").alias("last"), F.col("_g1").alias("g1"), F.col("_e2").alias("g2")).distinct()
+    pair = ["chrom", "sample", "other"]
+    run = marked.withColumn("_run", F.sum(F.when(F.col("ok"), 0).otherwise(1)).over(w)).where("ok").select(*pair, "pos", "gen", "_run")
+    ends = run.groupBy(*pair, "_run").agg(F.min("pos").alias("_first"), F.max("pos").alias("_last"), F.min("gen").alias("_g1"), F.max("gen").alias("_g2"))
+    at = segs.join(run.select(*pair, F.col("pos").alias("first"), F.col("_run").alias("_r1")), [*pair, "first"], "left").join(run.select(*pair, F.col("pos").alias("last"), F.col("_run").alias("_r2")), [*pair, "last"], "left")
+    at = at.join(ends.select(*pair, F.col("_run").alias("_r1"), "_first", "_g1"), [*pair, "_r1"], "left").join(ends.select(*pair, F.col("_run").alias("_r2"), "_last", "_g2"), [*pair, "_r2"], "left")
+    return at.select(*pair, F.coalesce("_first", "first").alias("first"), F.coalesce("_last", "last").alias("last"), F.coalesce("_g1", "g1").alias("g1"), F.coalesce("_g2", "g2").alias("g2")).distinct()
 
 
 def long_enough(segs: DataFrame, least: float = 2.0) -> DataFrame:

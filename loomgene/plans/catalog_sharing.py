@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as fx
 from ..operators import frequency, ibs2, pbwt
 from .catalog import query, r6
+from .stages import keep_once
 
 #: Steps of markers for the queries: four in a row on a chromosome that are informative.
 _INFO = """, k AS (SELECT m, count(*) * 2 AS n, count(a1) + count(a2) AS present, coalesce(sum(a1), 0) + coalesce(sum(a2), 0) AS alt FROM calls GROUP BY m),
@@ -28,7 +29,7 @@ def _calls(spark, d):
     inf = ibs2.informative(frequency.allele_counts(haps, ["m"]))
     ic = c.join(inf.select("m"), "m", "left_semi").withColumn("gen", F.col("pos") / 1e6)
     places = ic.select("chrom", "pos").distinct().selectExpr("chrom", "pos", "cast((row_number() over (partition by chrom order by pos) - 1) div 4 as bigint) as step")
-    return ic.join(places, ["chrom", "pos"])
+    return keep_once(ic.join(places, ["chrom", "pos"]))
 
 
 @query(_INFO + "SELECT m FROM inf", "calls")
