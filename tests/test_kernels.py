@@ -5,7 +5,7 @@ import pytest
 
 from loomgene.operators import hmm, pbwt, states
 from loomgene.plans.impute import bridged, impute_window
-from loomgene.plans.phase import genotype_emissions, phase_window
+from loomgene.plans.phase import bridge, genotype_emissions, phase_window
 
 
 def test_sort_of_four():
@@ -237,6 +237,52 @@ def test_phasing_beats_chance():
     assert wrong / (het.sum() - 30) < 0.1
 
 
+def rare_case():
+    """Six samples that copy two haplotypes each of a panel of 500; markers at which one panel haplotype, the one copied, has the rare allele."""
+    rng = np.random.default_rng(12)
+    panel = rng.integers(0, 2, (160, 500))
+    t1, t2 = panel[:, 440:446].copy(), panel[:, 460:466].copy()
+    rare = np.arange(5, 160, 8)
+    for a in (panel, t1, t2):
+        a[rare] = 0
+    return panel, t1, t2, rare
+
+
+def test_rare_alleles_follow_carriers_beyond_the_states():
+    panel, t1, t2, rare = rare_case()
+    panel[rare, 440] = t1[rare, 0] = 1
+    h1, h2 = phase_window(np.minimum(t1, t2), np.maximum(t1, t2), np.arange(160) * 0.01, panel=panel, k=40, rare=0.12, burnin=2, iterations=3, ne=1e4)
+    near = (h1[rare - 1, 0] == t1[rare - 1, 0]) & (h2[rare - 1, 0] == t2[rare - 1, 0])
+    het = t1[rare - 1, 0] != t2[rare - 1, 0]
+    assert het.sum() > 5 and (h1[rare, 0] + h2[rare, 0] == 1).all()
+    assert ((h1[rare, 0] == 1) == near)[het].all()
+
+
+def test_rare_missing_calls_follow_the_states():
+    panel, t1, t2, rare = rare_case()
+    panel[rare, 440] = t1[rare, 0] = 1
+    a1, a2 = np.minimum(t1, t2), np.maximum(t1, t2)
+    a1[rare[::2]] = a2[rare[::2]] = 255
+    h1, h2 = phase_window(a1, a2, np.arange(160) * 0.01, panel=panel, k=40, rare=0.12, burnin=2, iterations=3, ne=1e4)
+    assert (h1 + h2)[rare].tolist() == (t1 + t2)[rare].tolist()
+
+
+def test_a_singleton_goes_to_the_shorter_match():
+    panel, t1, t2, rare = rare_case()
+    t2[:, 0] = np.where(np.arange(160) // 10 % 2, panel[:, 300], panel[:, 301])
+    t2[rare, 0] = 1
+    fixed = np.ones(t1.shape, bool)
+    fixed[rare] = False
+    h1, h2 = phase_window(t1, t2, np.arange(160) * 0.01, panel=panel, fixed=fixed, k=40, rare=0.12, burnin=1, iterations=1, ne=1e4)
+    assert (h2[rare, 0] == 1).all() and (h1[rare, 0] == 0).all()
+
+
+def test_rare_markers_lie_between_two_anchors():
+    before, after = np.array([0.9, 0.1]), np.array([0.1, 0.9])
+    assert np.allclose(bridge(before, after, 0.5, 0.5, 0.1), 0.5) and bridge(before, after, 0.9, 0.1, 5.0)[1] > 0.5 > bridge(before, after, 0.1, 0.9, 5.0)[1]
+    assert bridge(before, after, 0, 1, 1.0) is before and bridge(before, after, 1, 0, 1.0) is after
+
+
 def test_empty_and_lone():
     none = np.empty((0, 0), np.int64)
     assert phase_window(none, none, np.empty(0))[0].shape == (0, 0)
