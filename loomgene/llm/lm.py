@@ -1,4 +1,4 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
+"""Interpolated modified Kneser-Ney model of any order, counted in Spark and memory-mapped by workers.
 
 Three passes over the texts, none with a step per word in Python:
 
@@ -13,6 +13,11 @@ Three passes over the texts, none with a step per word in Python:
 3. Workers map the arrays and score batches: all pairs of a batch are looked up at once, sorted, so
    that the look-ups run through the files in order.
 
+Above order 2 a pair's number is its place in the arrays, an n-gram's key its context's number and its
+last word, and buckets are ranges of the contexts' numbers, so that a bucket has all of a context. Each
+order is one more pass like 2. Orders below the highest count the different words before an n-gram, or,
+where it begins a text, its occurrences; contexts that would reach beyond a text's begin are shorter.
+
 Files lie in the shared folder, written whole and renamed, with equal bytes if a task runs again.
 All training texts are counted, and nothing is pruned. Memory is bounded by a bucket (buckets follow
 the input's bytes) and a batch. A token is a word [^\x20\x09-\x0D]+ with A-Z lower-cased, or a text's end.
@@ -71,8 +76,9 @@ def add_up(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
 class Sums:
     """Counts of keys as they come; flushed as rows for each bucket of the key range."""
 
-    def __init__(self, bits: int):
-        self.bits, self.parts, self.size = bits, [], 0
+    def __init__(self, bits: int, edges: np.ndarray | None = None):
+        self.parts, self.size = [], 0
+        self.edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if edges is None else edges
 
     def add(self, keys: np.ndarray) -> None:
         own, n = np.unique(keys, return_counts=True)
@@ -84,7 +90,7 @@ class Sums:
             return []
         keys, n = add_up(*(np.concatenate(x) for x in zip(*self.parts)))
         self.parts, self.size = [], 0
-        edges = np.searchsorted(keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
+        edges = np.searchsorted(keys, self.edges)
         edges = np.append(edges, len(keys))
         return [(b, pack(keys[x:y], True), pack(n[x:y])) for b, (x, y) in enumerate(zip(edges.tolist(), edges[1:].tolist())) if x < y]
 
@@ -122,6 +128,10 @@ class Model:
     pairs: int = 0
     filled: frozenset = frozenset()  # buckets that have pairs
     left: float = 0.0  # mass that the lower order leaves to unseen words
+    order: int = 2
+    firsts: dict[int, np.ndarray] = field(default_factory=dict)  # of each order's buckets the first n-gram's number, and how many there are
+    edges: dict[int, np.ndarray] = field(default_factory=dict)  # of each order's buckets from 3 on the first context's number, and how many there are
+    higher: dict[int, tuple[float, ...]] = field(default_factory=dict)  # discounts from order 3 on
 
     @property
     def words(self) -> int:
@@ -169,15 +179,107 @@ def pair_counts(model: Model, keys: np.ndarray) -> np.ndarray:
             continue
         table = _mapped(f"{model.uri}/pairs-{b}", "<u8")
         at = np.minimum(np.searchsorted(table, own[x:y]), len(table) - 1)
-        n = _mapped(f"{model.uri}/counts-{b}", "u1")[at].astype(np.int64)
-        large = np.flatnonzero(n == 255)
-        if len(large):
-            over = _mapped(f"{model.uri}/large-{b}", "<u8").reshape(2, -1)
-            n[large] = over[1][np.searchsorted(over[0], at[large].astype(np.uint64)).clip(0, over.shape[1] - 1)]
-        out[x:y] = np.where(table[at] == own[x:y], n, 0)
+        out[x:y] = np.where(table[at] == own[x:y], _read_counts(f"{model.uri}/counts-{b}", at), 0)
     return out[back]
 
 
+def _write_counts(uri: str, n: np.ndarray) -> None:
+    """A byte for each number, and those of 255 or more with their places in a second file."""
+    write_file(uri, np.minimum(n, 255).astype("u1").tobytes())
+    large = np.flatnonzero(n >= 255).astype(np.uint64)
+    write_file(f"{uri}-large", np.concatenate([large, n[n >= 255].astype(np.uint64)]).astype("<u8").tobytes())
+
+
+def _read_counts(uri: str, at: np.ndarray) -> np.ndarray:
+    n = _mapped(uri, "u1")[at].astype(np.int64)
+    large = np.flatnonzero(n == 255)
+    if len(large):
+        over = _mapped(f"{uri}-large", "<u8").reshape(2, -1)
+        n[large] = over[1][np.searchsorted(over[0], at[large].astype(np.uint64)).clip(0, over.shape[1] - 1)]
+    return n
+
+
+def gram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
+
+
+def gram_numbers(model: Model, order: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Numbers of n-grams given their contexts' numbers and last words; -1 where there is no such one."""
+    out = np.full(len(word), -1, np.int64)
+    known = np.flatnonzero(context >= 0)
+    own, back = np.unique((pair_keys if order == 2 else gram_keys)(context[known], word[known]), return_inverse=True)
+    found = np.full(len(own), -1, np.int64)
+    if order == 2:
+        parts = _by_bucket(own, model.bits)
+    else:
+        cut = np.searchsorted(own, model.edges[order].astype(np.uint64) << np.uint64(32)).tolist()
+        parts = ((b, x, y) for b, (x, y) in enumerate(zip(cut, cut[1:])) if x < y)
+    first = model.firsts[order]
+    for b, x, y in parts:
+        if first[b] == first[b + 1]:
+            continue
+        table = _mapped(f"{model.uri}/{'pairs' if order == 2 else f'grams{order}'}-{b}", "<u8")
+        at = np.minimum(np.searchsorted(table, own[x:y]), len(table) - 1)
+        found[x:y] = np.where(table[at] == own[x:y], first[b] + at, -1)
+    out[known] = found[back]
+    return out
+
+
+def running_numbers(model: Model, w: np.ndarray, at: np.ndarray, order: int) -> np.ndarray:
+    """Of each place in sequences() the number of the n-gram that ends there; -1 if it would begin before its text."""
+    out = w
+    for o in range(2, order + 1):
+        before = np.concatenate([[-1], out[:-1]])
+        before[at[:-1][at[:-1] < len(w)]] = -1
+        out = gram_numbers(model, o, before, w)
+    return out
+
+
+def _each(first: np.ndarray, numbers: np.ndarray, read) -> np.ndarray:
+    """read(bucket, place) of numbers that are dealt over buckets by `first`; zeros for -1."""
+    own, back = np.unique(numbers, return_inverse=True)
+    cut = np.searchsorted(own, first).tolist()
+    got = [(x, y, read(b, own[x:y] - first[b])) for b, (x, y) in enumerate(zip(cut, cut[1:])) if x < y]
+    out = np.zeros((len(own), *(got[0][2].shape[1:] if got else ())), np.int64)
+    for x, y, v in got:
+        out[x:y] = v
+    return out[back]
+
+
+def gram_counts(model: Model, order: int, numbers: np.ndarray) -> np.ndarray:
+    """Counts of n-grams as their order uses them, 0 for -1."""
+    name = "counts" if order == model.order else "contexts"
+    return _each(model.firsts[order], numbers, lambda b, at: _read_counts(f"{model.uri}/{name}{'' if order == 2 else order}-{b}", at))
+
+
+def context_stats(model: Model, order: int, numbers: np.ndarray) -> np.ndarray:
+    """Of contexts of an order's n-grams: total, and n-grams of count 1, 2, 3 or more; zeros for -1."""
+    edges, first = model.edges[order], model.firsts[order]
+
+    def read(b: int, at: np.ndarray) -> np.ndarray:
+        if first[b] == first[b + 1]:
+            return np.zeros((len(at), 4), np.int64)
+        size = int(edges[b + 1] - edges[b])
+        return np.stack([_read_counts(f"{model.uri}/stats{order}-{b}", at + i * size) for i in range(4)], 1)
+
+    out = np.zeros((len(numbers), 4), np.int64)
+    known = np.flatnonzero(numbers >= 0)
+    if len(known):
+        out[known] = _each(edges, numbers[known], read)
+    return out
+
+
+def _suffixes(model: Model, order: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Numbers of n-grams without their first words."""
+    if order == 2:
+        return word
+    name = "pairs" if order == 3 else f"grams{order - 1}"
+    keys = _each(model.firsts[order - 1], context, lambda b, at: _mapped(f"{model.uri}/{name}-{b}", "<u8")[at].view(np.int64)).view(np.uint64)
+    keys = unmix(keys) if order == 3 else keys
+    inner = _suffixes(model, order - 1, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    return gram_numbers(model, order - 1, inner, word)
+
+
 #: Of each word's number: total and pairs of count 1, 2, 3 or more as a context; contexts before it; count.
 STATS = ("total", "n1", "n2", "n3", "before", "count")
 
@@ -205,16 +307,18 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
     return tuple(min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 1.0) for i in range(3))
 
 
-def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> Model:
-    """Counts df's texts; the model's files are in the shared folder."""
+def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, order: int = 2) -> Model:
+    """Counts df's texts; the model's files are in the shared folder. order: words of the longest n-grams."""
     import pyarrow as pa
 
+    if order < 2:
+        raise ValueError("the order is at least 2")
     spark = df.sparkSession
     small_batches(spark)
     texts = df.select(F.col(f"`{text_col}`").alias("t"))
     total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     bits = max(4, min(16, int(np.ceil(np.log2(max(1, total / bucket_bytes))))))
-    model = Model(file_dir(spark, "lm"), bits)
+    model = Model(file_dir(spark, "lm"), bits, order=order)
     binary = [pa.int32(), pa.binary(), pa.binary()]
     kind = "bucket int, keys binary, n binary"
 
@@ -274,9 +378,11 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
         keys, n = _merge(table, "n")
         b = table.column("bucket")[0].as_py()
         write_file(f"{uri}/pairs-{b}", keys.astype("<u8").tobytes())
-        write_file(f"{uri}/counts-{b}", np.minimum(n, 255).astype("u1").tobytes())
-        large = np.flatnonzero(n >= 255).astype(np.uint64)
-        write_file(f"{uri}/large-{b}", np.concatenate([large, n[n >= 255]]).astype("<u8").tobytes())
+        _write_counts(f"{uri}/counts-{b}", n)
+        return spread(b, keys, n) if order == 2 else pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([[len(keys)]], pa.list_(pa.int64()))})
+
+    def spread(b: int, keys: np.ndarray, n: np.ndarray) -> pa.Table:
+        """What each word's number gets from a bucket of pairs."""
         plain = unmix(keys)
         one = [(n == k).astype(np.uint64) for k in (1, 2)] + [(n >= 3).astype(np.uint64)]
         context = add_up(plain >> np.uint64(32), n, *one)
@@ -289,8 +395,8 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
         edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(both)]
         rows = [(int(group[x]), pack(both[x:y], True), *(pack(c[x:y]) for c in cols)) for x, y in zip(edge, edge[1:]) if x < y]
         #: Counts of counts, and which buckets have pairs, go to a range of their own.
-        four = np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n), 1], np.uint64)
-        rows.append((-1, pack(np.array([0, 1, 2, 3, 4, 5 + b], np.uint64), True), pack(four), *[pack(np.zeros(6, np.uint64))] * 4))
+        seen = np.array([(n == k).sum() for k in (1, 2, 3, 4)] + [len(n), 1], np.uint64)
+        rows.append((-1, pack(np.array([0, 1, 2, 3, 4, 5 + b], np.uint64), True), pack(seen), *[pack(np.zeros(6, np.uint64))] * 4))
         return pa.Table.from_batches([batch(rows, names, kinds)])
 
     starts = np.array(model.starts)
@@ -320,7 +426,112 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
         seen = [int((before == c).sum()) for c in (1, 2, 3, 4)] + [int((before > 0).sum())]
         return pa.table({"range": pa.array([k], pa.int32()), "n": pa.array([seen], pa.list_(pa.int64()))})
 
-    partial = texts.mapInArrow(count_pairs, kind).groupBy("bucket").applyInArrow(write_pairs, "range int, keys binary, total binary, n1 binary, n2 binary, n3 binary, before binary")
+    def four(n: np.ndarray) -> list[int]:
+        return [int((n == k).sum()) for k in (1, 2, 3, 4)]
+
+    def count_grams(o: int):
+        first = model.edges[o][:-1].astype(np.uint64) << np.uint64(32)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = Sums(bits, first)
+            for b in batches:
+                column = column_bytes(b.column(0))
+                for x, y in chunks(column, CHUNK):
+                    s, at = sequences(column[x:y])
+                    w = word_numbers(model, s)
+                    context = running_numbers(model, w, at, o - 1)[:-1]
+                    ok = np.ones(len(w), bool)
+                    ok[at[:-1]] = False
+                    ok = np.flatnonzero(ok[1:] & (context >= 0))
+                    sums.add(gram_keys(context[ok], w[ok + 1]))
+                if sums.size > FLUSH:
+                    yield batch(sums.rows())
+            yield batch(sums.rows())
+
+        return run
+
+    def write_context_stats(o: int, b: int, keys: np.ndarray, n: np.ndarray) -> None:
+        lo, hi = model.edges[o][b : b + 2].tolist()
+        own, *sums = add_up(keys >> np.uint64(32), n, *((n == k).astype(np.uint64) for k in (1, 2)), (n >= 3).astype(np.uint64))
+        out = np.zeros((4, hi - lo), np.uint64)
+        out[:, own.astype(np.int64) - lo] = np.stack(sums)
+        _write_counts(f"{uri}/stats{o}-{b}", out.ravel())
+
+    def write_grams(o: int):
+        def run(table: pa.Table) -> pa.Table:
+            keys, n = _merge(table, "n")
+            b = table.column("bucket")[0].as_py()
+            write_file(f"{uri}/grams{o}-{b}", keys.astype("<u8").tobytes())
+            _write_counts(f"{uri}/counts{o}-{b}", n)
+            if o == order:
+                write_context_stats(o, b, keys, n)
+            return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([[len(keys), *four(n)]], pa.list_(pa.int64()))})
+
+        return run
+
+    def suffixes(o: int):
+        """Of each n-gram in a bucket's file the one without its first word."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = model.firsts[o - 1]
+            for found in batches:
+                for b in found.column(0).to_pylist():
+                    table = _mapped(f"{uri}/grams{o}-{b}", "<u8")
+                    sums = Sums(bits, first[:-1].astype(np.uint64))
+                    for x in range(0, len(table), FLUSH):
+                        keys = np.asarray(table[x : x + FLUSH])
+                        sums.add(_suffixes(model, o, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)).astype(np.uint64))
+                    yield batch(sums.rows())
+
+        return run
+
+    def write_contexts(o: int):
+        """How many different words stand before each n-gram of a bucket; those at a text's begin keep their counts."""
+
+        def run(table: pa.Table) -> pa.Table:
+            own, sums = _merge(table, "n")
+            b = table.column("bucket")[0].as_py()
+            keys = np.asarray(_mapped(f"{uri}/{'pairs' if o == 2 else f'grams{o}'}-{b}", "<u8"))
+            n = np.zeros(len(keys), np.uint64)
+            n[own.astype(np.int64) - model.firsts[o][b]] = sums
+            n = np.where(n > 0, n, _read_counts(f"{uri}/counts{'' if o == 2 else o}-{b}", np.arange(len(keys))).astype(np.uint64))
+            _write_counts(f"{uri}/contexts{'' if o == 2 else o}-{b}", n)
+            if o == 2:
+                return spread(b, keys, n)
+            write_context_stats(o, b, keys, n)
+            return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([[len(keys), *four(n)]], pa.list_(pa.int64()))})
+
+        return run
+
+    told, shares = "bucket int, n array<bigint>", "range int, keys binary, total binary, n1 binary, n2 binary, n3 binary, before binary"
+
+    def numbered(rows: list) -> np.ndarray:
+        size = {r.bucket: r.n[0] for r in rows}
+        first = np.concatenate([[0], np.cumsum([size.get(b, 0) for b in range(1 << bits)])]).astype(np.int64)
+        if first[-1] >= 1 << 32:
+            raise ValueError("more than 2 ** 32 different n-grams")
+        return first
+
+    pairs = texts.mapInArrow(count_pairs, kind).groupBy("bucket")
+    if order == 2:
+        partial = pairs.applyInArrow(write_pairs, shares)
+    else:
+        model.firsts[2] = numbered(pairs.applyInArrow(write_pairs, told).collect())  # a row per bucket
+        for o in range(3, order + 1):
+            model.edges[o] = np.linspace(0, model.firsts[o - 1][-1], (1 << bits) + 1).astype(np.int64)
+            made = texts.mapInArrow(count_grams(o), kind).groupBy("bucket").applyInArrow(write_grams(o), told).collect()  # a row per bucket
+            model.firsts[o] = numbered(made)
+        model.higher[order] = _discounts(np.sum([r.n[1:] for r in made], 0).tolist() if made else [0] * 4)
+        for o in range(order, 2, -1):
+            filled = lambda k: np.flatnonzero(np.diff(model.firsts[k])).tolist()
+            #: A row of its own for each bucket, for those that no n-gram of the order above points to.
+            blank = spark.createDataFrame([(b, bytearray(pack(model.firsts[o - 1][b : b + 1], True)), bytearray(pack(np.zeros(1)))) for b in filled(o - 1)], kind)
+            found = spark.createDataFrame([(b,) for b in filled(o)], "bucket int").repartition(max(1, len(filled(o)) // 2), "bucket")
+            lower = found.mapInArrow(suffixes(o), kind).union(blank).groupBy("bucket")
+            if o == 3:
+                partial = lower.applyInArrow(write_contexts(2), shares)
+            else:
+                model.higher[o - 1] = _discounts(np.sum([r.n[1:] for r in lower.applyInArrow(write_contexts(o - 1), told).collect()], 0).tolist())  # a row per bucket
     stats = partial.groupBy("range").applyInArrow(write_stats, "range int, n array<bigint>").collect()  # a row per range
     own = next(r.n for r in stats if r.range < 0)
     model.discounts, model.pairs, model.filled = _discounts(own), own[4], frozenset(own[5:])
@@ -331,6 +542,14 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
     return model
 
 
+def _interpolated(c: np.ndarray, context: np.ndarray, d: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Probabilities from counts, the contexts' total and n-grams of count 1, 2, 3 or more, discounts, and the lower order's."""
+    total = context[:, 0]
+    seen = np.maximum(total, 1)
+    gamma = np.where(total > 0, (context[:, 1] * d[1] + context[:, 2] * d[2] + context[:, 3] * d[3]) / seen, 1.0)
+    return np.where(total > 0, (c - d[np.minimum(c, 3)]) / seen, 0.0) + gamma * low
+
+
 def log_probabilities(model: Model, texts: list[bytes | None]) -> tuple[np.ndarray, ...]:
     """Per text: tokens, known tokens, base score and the model's log10 probability."""
     s, at = sequences(texts)
@@ -348,11 +567,17 @@ def log_probabilities(model: Model, texts: list[bytes | None]) -> tuple[np.ndarr
     d, e = np.array([0, *model.discounts]), np.array([0, *model.lower])
     before = cur[:, 4]
     low = (before - e[np.minimum(before, 3)]) / model.pairs + model.left / (model.words + 1)
-    c = pair_counts(model, pair_keys(w[ok - 1], w[ok]))
-    total = prev[:, 0]
-    seen = np.maximum(total, 1)
-    gamma = np.where(total > 0, (prev[:, 1] * d[1] + prev[:, 2] * d[2] + prev[:, 3] * d[3]) / seen, 1.0)
-    p = np.where(total > 0, (c - d[np.minimum(c, 3)]) / seen, 0.0) + gamma * low
+    if model.order == 2:
+        c = pair_counts(model, pair_keys(w[ok - 1], w[ok]))
+    else:
+        numbers = running_numbers(model, w, at, 2)
+        c = gram_counts(model, 2, numbers[ok])
+    p = _interpolated(c, prev, d, low)
+    for o in range(3, model.order + 1):
+        context = numbers[ok - 1]
+        numbers = np.full(len(w), -1, np.int64)
+        numbers[ok] = gram_numbers(model, o, context, w[ok])
+        p = _interpolated(gram_counts(model, o, numbers[ok]), context_stats(model, o, context), np.array([0, *model.higher[o]]), p)
     base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.words + 1)))
     return (np.diff(at) - 1, np.add.reduceat((count > 0).astype(np.int64), starts), np.add.reduceat(base, starts), np.add.reduceat(np.log10(p), starts))
 

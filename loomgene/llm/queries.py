@@ -72,7 +72,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", F.coalesce(_remainder(5) == 1, F.lit(False)))
-    model = lm.train(docs.where(~F.col("held_out")))
+    model = lm.train(docs.where(~F.col("held_out")), order=3)
     rows = lm.score(docs, model)
     return rows.select("doc_id", "held_out", "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score")
 

@@ -420,6 +420,54 @@ def test_language_model(spark, rows, empty):
     assert lm.score(empty, model).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_of_higher_order(spark, order):
+    rng = np.random.default_rng(order)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 12, rng.integers(0, 30)) * rng.integers(0, 2)) for _ in range(300)] + ["a b " * 300, ""]
+    model = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), bucket_bytes=200, order=order)
+    c = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        seq = [1, *t.split(), 0]
+        for o in range(1, order + 1):
+            c[o].update(tuple(seq[i - o + 1 : i + 1]) for i in range(max(1, o - 1), len(seq)))
+    used = [Counter() for _ in range(order)] + [c[order]]
+    for o in range(1, order):
+        used[o] = Counter(g[1:] for g in c[o + 1])
+        used[o].update({g: n for g, n in c[o].items() if g not in used[o]})
+
+    def discounts(counts):
+        k = [sum(1 for x in counts.values() if x == i) for i in (1, 2, 3, 4)]
+        if min(k) == 0:
+            return [0, 0.75, 0.75, 0.75]
+        y = k[0] / (k[0] + 2 * k[1])
+        return [0] + [min(max(i + 1 - (i + 2) * y * k[i + 1] / k[i], 0.05), i + 1) for i in range(3)]
+
+    d = [None, *(discounts(used[o]) for o in range(1, order + 1))]
+    follow = {}
+    for o in range(1, order + 1):
+        for g, n in used[o].items():
+            follow.setdefault(g[:-1], []).append((n, d[o][min(n, 3)]))
+
+    def p(context, w):
+        low = 1 / (len(c[1]) + 1) if not context else p(context[1:], w)
+        if context not in follow:
+            return low
+        o, total = len(context) + 1, sum(n for n, _ in follow[context])
+        n = used[o][(*context, w)]
+        return (n - d[o][min(n, 3)] + sum(x for _, x in follow[context]) * low) / total
+
+    assert abs(sum(p(("w3", "w5")[: order - 1], w) for (w,) in c[1]) + p(("w3", "w5"), "unseen") - 1) < 1e-9
+    tries = [*texts[:20], "a b a b", "w1 unseen w3 w4 w5", "unseen", ""]
+    want = []
+    for t in tries:
+        seq = [1, *t.split(), 0]
+        want.append(sum(math.log10(p(tuple(seq[max(0, i - order + 1) : i]), seq[i])) for i in range(1, len(seq))))
+    got = lm.log_probabilities(model, [t.encode() for t in tries])[3]
+    assert np.allclose(got, want, atol=1e-9)
+    pair = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert lm.log_probabilities(pair, [b"a b a b"])[3][0] != got[20]
+
+
 def test_language_model_large_counts(spark):
     model = lm.train(spark.createDataFrame([("a b " * 700,), ("c",)], "text string"))
     _, known, _, score = lm.log_probabilities(model, [b"a b", b"b a", b"zz"])
