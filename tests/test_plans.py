@@ -143,3 +143,20 @@ def test_multiallelic_output(spark):
     assert len(fields) == 5 and [float(x) for x in fields[2].split(",")] == pytest.approx([0.03, 0.1, 0.08, 0.24, 0.34, 0.21], abs=1e-3)
     q = impute.site_report(probs).first()
     assert q.af == pytest.approx([0.3, 0.5]) and all(0 <= x <= 1 for x in q.dr2)
+
+
+def test_batches_of_the_small_model_follow_length_and_rows(spark):
+    from loomgene.operators import hmm
+
+    size = {0: 5000, **{s: 2 + s % 40 for s in range(1, 400)}}
+    rows = spark.createDataFrame([(s, p, (s + p // 3) % 2) for s, n in size.items() for p in range(n)], "sample bigint, pos bigint, o int")
+    groups = {}
+    for r in hmm.like_lengths(rows, 1000).groupBy("size", "alone", "batch").agg(F.collect_set("sample").alias("s")).collect():
+        groups[(r.size, r.alone, r.batch)] = r.s
+    assert sorted(x for g in groups.values() for x in g) == sorted(size)
+    assert [g for g in groups.values() if 0 in g] == [[0]] and len(groups) > 8
+    for g in groups.values():
+        assert max(size[s] for s in g) * len(g) <= 2 * sum(size[s] for s in g) and (g == [0] or sum(size[s] for s in g) < 3000)
+    few, many = ({(r.sample, r.pos): r[2:] for r in hmm.two_state(rows, batch_rows=b).collect()} for b in (1000, 1 << 30))
+    assert few.keys() == many.keys() and len(few) == sum(size.values())
+    assert all(abs(x - y) < 1e-9 for k in few for x, y in zip(few[k], many[k]))
