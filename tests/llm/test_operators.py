@@ -10,8 +10,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomgene.llm import decontaminate, langid, licenses, lm, mixing, quality, sharding, simhash, textcore, tokens, urls
+from loomgene.llm.store import written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, shard string, contamination string, _text string"
 
@@ -330,13 +332,43 @@ def test_quality_signals_and_verdicts(docs, rows, empty):
 
 def test_quality_thresholds_adapt_per_group(spark):
     rng = random.Random(1)
-    text = lambda bad: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8))) + ("***" if rng.random() < bad else "") for _ in range(80))
+    text = lambda bad: " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 8))) + ("***" if rng.random() < bad else "") for _ in range(rng.randint(60, 120)))
     data = [(i, text(0), "en", "clean") for i in range(150)] + [(200 + i, text(0.9), "en", "clean") for i in range(5)] + [(300 + i, text(0.9), "en", "starry") for i in range(150)]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
     kept = {r.doc_id for r in quality.drop_low_quality(df).collect()}
     assert kept == set(range(150)) | set(range(300, 450))
 
 
+def test_quality_bounds_a_group_by_its_language(spark):
+    """A source of which a third is junk would allow it by its own quantiles; those of its language do not."""
+    rng = random.Random(2)
+    text = lambda bad: " ".join("word" + rng.choice("abc") * rng.randint(1, 9) + "#" * bad for _ in range(rng.randint(60, 120)))
+    data = [(i, text(0), "en", f"s{i % 8}") for i in range(800)] + [(1000 + i, text(0 if i % 3 else 2), "en", "mixed") for i in range(90)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string")
+    gone = {i for i, *_ in data} - {r.doc_id for r in quality.drop_low_quality(df).collect()}
+    assert gone >= {1000 + i for i in range(0, 90, 3)} and len(gone - {1000 + i for i in range(0, 90, 3)}) < 9
+
+
+def test_quality_verdicts_come_from_the_groups(spark):
+    """Fences differ between groups, and for some rates no single cutoff gives the groups' verdicts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sig = written(quality.signals(docs, "text", ["lang", "source"]), "signals")
+    fences = written(quality.thresholds(sig), "fences")
+    groups = fences.collect()
+    values = [r[f"hi_{k}"] for r in groups for k in quality.RATES]
+    assert Counter(values).most_common(1)[0][1] < len(values) / 10
+    rates = sig.select("lang", "source", quality.base_failed().alias("failed"), *[v.alias(k) for k, v in quality.rates().items()])
+    own = rates.where("not failed").join(fences, (F.col("lang") == F.col("g_lang")) & (F.col("source") == F.col("g_source")))
+    r = own.agg(*[x.alias(f"{n}_{k}") for k in quality.RATES for n, x in (("kept", F.max(F.when(F.col(k) <= F.col(f"hi_{k}"), F.col(k)))), ("gone", F.min(F.when(F.col(k) > F.col(f"hi_{k}"), F.col(k)))))]).first()
+    mixed = [k for k in quality.RATES if r[f"gone_{k}"] is not None and r[f"kept_{k}"] > r[f"gone_{k}"]]
+    assert {"symbol_rate", "repeat_rate"} <= set(mixed), mixed
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    verdict = quality.drop_low_quality(docs).select("doc_id").withColumn("kept", F.lit(1))
+    base = quality.signals(docs, "text", ["doc_id"]).select("doc_id", quality.base_failed().alias("failed"))
+    share = {x.quality: x.share for x in base.where("not failed").join(labels, "doc_id").join(verdict, "doc_id", "left").groupBy("quality").agg((F.count("kept") / F.count("*")).alias("share")).collect()}
+    assert share[1] > 0.99 and share[0] < 0.02, share
+
+
 def test_mixing(spark, docs, rows, empty):
     got = mixing.mix_sizes(docs).collect()
     assert len(got) == len(rows)
