@@ -8,12 +8,14 @@ their occurrences are located from suffix positions sampled every SAMPLE places,
 spans and merged.
 
 Phrases: WINDOW consecutive words of an item; an item of fewer words, but not none, is one phrase.
-Spans of more benchmark text than BLOCK_BYTES are found in several passes over the documents, each
-with its own part of the benchmark, so what is broadcast is bounded.
+Phrases are held as one array of word numbers and their places in it; a shard searches only those
+whose words it has. A benchmark of more than BLOCK_BYTES is found in several passes over the
+documents, one after another, each with its own part of it; between passes the rows are written and
+the part is released, so what is broadcast is bounded.
 
 Nulls: a null text has no words and no hits; a null item text has no phrases; a null item id is
 named by the empty string. Empty tables give empty results (no items: no hits); repeated rows are
-judged each, repeated items count once by id.
+judged each, repeated items count once by id. Extra columns of any name and type are carried.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import free_name, small_batches
+from .store import free_name, small_batches, written
 from .textcore import ALNUM_CLASS, chunks, column_bytes, mix, scan
 
 WINDOW = 13
@@ -93,12 +95,12 @@ class FMIndex:
         self.place = np.cumsum(self.kept) - 1
         self.samples = order[self.kept]
 
-    def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows [lo, hi) of the suffixes that start with each phrase (equal lengths, one per row)."""
-        lo, hi = np.zeros(len(phrases), np.int64), np.full(len(phrases), len(self.bwt), np.int64)
-        live = np.arange(len(phrases))
-        for k in reversed(range(phrases.shape[1])):
-            c = phrases[live, k]
+    def search(self, words: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows [lo, hi) of the suffixes that start with words[s : s + size], for each s of starts."""
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.bwt), np.int64)
+        live = np.arange(len(starts))
+        for k in reversed(range(size)):
+            c = words[starts[live] + k]
             known = c <= self.most
             hi[live[~known]] = lo[live[~known]]
             live, c = live[known], c[known]
@@ -124,21 +126,52 @@ class FMIndex:
         return out
 
 
+def window_classes(words: np.ndarray, size: int) -> np.ndarray:
+    """Of each place that has size words from it on a number that equal windows share; windows are joined from halves, so exactly."""
+    n = len(words) - size + 1
+    out, done, power, width = np.zeros(n, np.int64), 0, words.astype(np.int64), 1
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.unique(a << 32 | b, return_inverse=True)[1]
+
+    while done < size:
+        if (size >> (width.bit_length() - 1)) & 1:
+            out = joined(out, power[done : done + n])
+            done += width
+        if done < size:
+            power = joined(power[:-width], power[width:])
+            width *= 2
+    return out
+
+
 class Phrases:
-    """Phrases of benchmark items, by length, and the items of each."""
+    """Different phrases of benchmark items: word numbers of all items in one array, and by length the phrases' places and items."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
         w = scan([t for _, t in items], ALNUM_CLASS)
+        self.names = sorted({name for name, _ in items})
+        place = {name: k for k, name in enumerate(self.names)}
+        owner = np.array([place[name] for name, _ in items], np.int32)[w.doc]
         self.vocabulary = np.unique(w.hashes)
-        ids = np.searchsorted(self.vocabulary, w.hashes) + 2  # 1 ends a run
-        by_length: dict[int, dict[tuple, set[str]]] = {}
-        for (name, _), a, b in zip(items, w.at, w.at[1:]):
-            words = ids[a:b].tolist()
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(name)
-        self.by_length = {n: (np.array(list(d), np.int64), [sorted(s) for s in d.values()]) for n, d in sorted(by_length.items())}
-        self.shortest = min(by_length, default=0)
+        self.words = (np.searchsorted(self.vocabulary, w.hashes) + 2).astype(np.int32)  # 1 ends a run
+        length, left = np.diff(w.at)[w.doc], w.at[1:][w.doc] - np.arange(len(w.hashes))  # of each word's item; words from it on
+        size = np.minimum(length, window)
+        #: By length: places of different phrases, where each one's items begin, and the items.
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(size).tolist():
+            at = np.flatnonzero((size == n) & (left >= n))
+            kind = window_classes(self.words, n)[at]
+            pair, first = np.unique(kind * len(self.names) + owner[at], return_index=True)
+            kind, lead = np.unique(pair // len(self.names), return_index=True)
+            self.by_length[n] = at[first[lead]].astype(np.int64), np.append(lead, len(pair)), (pair % len(self.names)).astype(np.int32)
+        self.shortest = min(self.by_length, default=0)
+
+    def present(self, known: np.ndarray, size: int) -> np.ndarray:
+        """Which phrases of a length have only words that are known (by number, less 2)."""
+        lacks = np.zeros(len(self.words) + 1, np.int64)
+        np.cumsum(~known[self.words - 2], out=lacks[1:])
+        starts = self.by_length[size][0]
+        return np.flatnonzero(lacks[starts + size] == lacks[starts])
 
     def find(self, texts: list[bytes | None]) -> tuple[object, list[np.ndarray], list[set[str]]]:
         """The scanned words; per text its hit spans (first word, word after the last), and its items."""
@@ -162,19 +195,22 @@ class Phrases:
                 origin = np.insert(places, cut, -1)
                 index = FMIndex(symbols)
                 doc = w.doc
-                for size, (phrases, names) in self.by_length.items():
-                    lo, hi = index.search(phrases)
-                    found = np.flatnonzero(lo < hi)
-                    counts = (hi - lo)[found]
+                here = np.zeros(len(self.vocabulary), bool)
+                here[at[places]] = True
+                for size, (phrases, first_item, of) in self.by_length.items():
+                    tried = self.present(here, size)
+                    lo, hi = index.search(self.words, phrases[tried], size)
+                    got = np.flatnonzero(lo < hi)
+                    lo, counts, found = lo[got], (hi - lo)[got], tried[got]
                     if not len(found):
                         continue
-                    rows = np.repeat(lo[found] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+                    rows = np.repeat(lo - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
                     first = origin[index.locate(rows)]
                     np.add.at(mark, first, 1)
                     np.add.at(mark, first + size, -1)
                     pairs = np.unique(np.stack([doc[first], np.repeat(found, counts)], 1), axis=0)
                     for d, p in pairs.tolist():
-                        items[d].update(names[p])
+                        items[d].update(self.names[k] for k in of[first_item[p] : first_item[p + 1]])
         hit = np.cumsum(mark[:-1]) > 0
         spans = []
         for a, b in zip(w.at, w.at[1:]):
@@ -204,7 +240,6 @@ def _pass(df: DataFrame, at: int, phrases) -> DataFrame:
     import pyarrow as pa
 
     span = pa.list_(pa.struct([(n, pa.int64()) for n in SPAN.names]))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +259,7 @@ def _pass(df: DataFrame, at: int, phrases) -> DataFrame:
                     all_items.append(sorted(names_ | set(old_items[x + i] or ())))
             yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n_words, pa.int64()), pa.array(all_spans, span), pa.array(all_items, pa.list_(pa.string()))], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(run, df.schema)
 
 
 def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -238,8 +273,13 @@ def find(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col:
     out = df.toDF(*own).select(*own, *[F.lit(None).cast(t).alias(c) for c, t in FOUND.items()])
     for k in range(blocks):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
-        items = [(r.item, None if r.text is None else r.text.encode()) for r in part.collect()]  # about block_bytes
-        out = _pass(out, df.columns.index(text_col), spark.sparkContext.broadcast(Phrases(items, window)))
+        got = part.toArrow()  # about block_bytes
+        items = list(zip(got.column(0).to_pylist(), column_bytes(got.column(1))))
+        phrases = spark.sparkContext.broadcast(Phrases(items, window))
+        out = _pass(out, df.columns.index(text_col), phrases)
+        if k < blocks - 1:
+            out = written(out, "pass")
+            phrases.unpersist()
     hit = F.aggregate("_spans", F.lit(0).cast("bigint"), lambda a, s: a + s.end_word - s.first_word)
     out = out.withColumn("_hit", hit)
     bad = (F.col("_hit") > 0) & (F.col("_hit") * SHARE >= F.col("_words"))
