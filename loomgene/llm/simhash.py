@@ -62,7 +62,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", carry: list[str] | None
     small_batches(df.sparkSession)
     carry = carry or []
     source = df.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)])
-    schema = ", ".join([*(f"_c{i} {source.schema[f'_c{i}'].dataType.simpleString()}" for i in range(len(carry))), "fp bigint"])
+    schema = T.StructType([*source.schema.fields[1:], T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -1,7 +1,8 @@
 """Tables and files in the one folder that driver and executors share.
 
 Lost executors recompute from parquet files there, never from blocks on another executor. The
-folder is the session's spark.checkpoint.dir; only where that is unset (tests) is one made.
+folder is the session's spark.checkpoint.dir; where that is unset, one is made in local mode only,
+since a folder of the driver's own machine is none that executors share.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         at = known.get() if known.isDefined() else None
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="loomgene-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -34,6 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(path: str, spark: SparkSession) -> None:
+    """Deletes a folder that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def file_dir(spark: SparkSession, name: str) -> str:
     """URI of a new sub-folder for files that tasks write by write_file()."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -86,7 +96,10 @@ def map_file(uri: str, dtype):
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches that hold long documents stay small: 10,000 texts of 100 kB would be 1 GB."""
+    """Arrow batches that hold long documents stay small: 10,000 texts of 100 kB would be 1 GB.
+
+    Spark reads the setting when a plan runs, not when it is made, so it stays lowered for the session.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -4,8 +4,12 @@ One pass of the automaton over the lower-cased url finds all strict and soft ter
 no letter or digit (a-z, 0-9) stands right before or after it. A url is blocked on one strict hit
 or on SOFT_LIMIT different soft terms. Rules decide first, the longest that fits.
 
-Nulls: a null url, or one without `://`, has an empty host and path; a null url has no hits. Empty
-tables give empty results, repeated rows are judged each.
+The vocabulary may be a table of its own (term, kind: strict or soft; see vocabulary()); STRICT and
+SOFT are only a small default. It is sent to every executor, so it is read behind a check of its size.
+
+Nulls: a null url, or one without `://`, has an empty host and path; a null url has no hits. Null and
+empty terms are left out; a term listed as strict and soft is strict. Empty tables give empty results,
+repeated rows are judged each, extra columns of any name and type are carried.
 """
 
 from __future__ import annotations
@@ -14,6 +18,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import free_name
 
@@ -23,6 +28,8 @@ RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 STRICT = ("casino", "escort", "free-bets", "porn", "spam-farm", "viagra", "warez", "xxx")
 SOFT = ("adult", "bet", "bets", "bonus", "cheap", "crack", "deal", "discount", "farm", "free", "jackpot", "loan", "pills", "poker", "spam", "win")
 SOFT_LIMIT = 2
+#: Most bytes of terms that are sent to the executors.
+TERM_BYTES = 64 << 20
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789"
 _FOLD = {c: c + 32 for c in range(65, 91)}
 
@@ -42,6 +49,16 @@ def fits(host: str, path: str, rule: tuple[str, str, str]) -> bool:
     return (host == rule[1] or host.endswith("." + rule[1])) and path.startswith(rule[2])
 
 
+def vocabulary(table: DataFrame, term_col: str = "term", kind_col: str = "kind") -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table, A-Z in lower case; more than TERM_BYTES of them are an error."""
+    terms = table.select(F.translate(term_col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("term"), F.col(kind_col).alias("kind")).where("length(term) > 0 and kind in ('strict', 'soft')").distinct()
+    size = terms.agg(F.sum(F.octet_length("term"))).first()[0] or 0
+    if size > TERM_BYTES:
+        raise ValueError(f"{size} bytes of terms; at most {TERM_BYTES} are sent to the executors")
+    rows = terms.collect()
+    return tuple(sorted(r.term for r in rows if r.kind == "strict")), tuple(sorted(r.term for r in rows if r.kind == "soft"))
+
+
 def build(strict: tuple[str, ...], soft: tuple[str, ...]):
     """The automaton over both lists."""
     import ahocorasick
@@ -77,10 +94,11 @@ def judge(df: DataFrame, url_col: str = "url", rules=RULES, strict=STRICT, soft=
     plain = df.toDF(*own)
     at = df.columns.index(url_col)
     kinds = {"_host": "string", "_path": "string", "_rule": "string", "_verdict": "string", "_strict": "bigint", "_soft": "bigint"}
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema), *(f"{k} {v}" for k, v in kinds.items())])
+    schema = T.StructType([*plain.schema.fields, *[T.StructField(k, T.LongType() if v == "bigint" else T.StringType()) for k, v in kinds.items()]])
+    terms = df.sparkSession.sparkContext.broadcast((tuple(strict), tuple(soft)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = build(strict, soft)
+        machine = build(*terms.value)
         for b in batches:
             out = []
             for url in b.column(at).to_pylist():
