@@ -208,14 +208,13 @@ def test_licenses(spark, docs, rows, empty):
     df = spark.createDataFrame([(r[0], r[1], r[2]) for r in rows] + more, "doc_id long, text string, licenses string")
     out = licenses.find(df)
     assert out.columns == ["doc_id", "text", "licenses", "_licenses"]
-    sets = [(label, set(t.split())) for label, t in licenses.TEMPLATES]
+    sets = [(label, set(w), licenses.step_of(w)) for label, w in ((label, alnum_words(t)) for label, t in licenses.ALL_TEMPLATES)]
     got = out.collect()
     assert len(got) == len(rows) + len(more)
     for r in got:
         w, g = alnum_words(r.text), r._licenses
         at = [(i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-        blocks = [set(w[k : k + licenses.BLOCK]) for k in range(0, len(w), licenses.STEP)]
-        met = [(label, len(b & s) / len(s)) for b in blocks for label, s in sets if len(b & s) >= math.ceil(licenses.THRESHOLD * len(s) - 1e-9)]
+        met = [(label, len(b & s) / len(s)) for label, s, n in sets for b in (set(w[k : k + 2 * n]) for k in range(0, len(w), n)) if len(b & s) >= math.ceil(licenses.THRESHOLD * len(s) - 1e-9)]
         assert (g.n_words, g.n_base, g.first_word, g.last_word) == (len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None))
         assert g.base_labels == sorted({x for _, x in at}) and g.labels == sorted({x for _, x in at} | {x for x, _ in met})
         assert g.score == (1.0 if at else max((c for _, c in met), default=0.0))
@@ -224,6 +223,24 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.find(empty).count() == 0
 
 
+def test_license_templates_of_any_length(spark):
+    """A template of 300 words from a table, whole and with a tenth of its words gone, anywhere in a text; and the whole texts."""
+    rng = random.Random(4)
+    long_ = [f"{rng.choice('abcdefgh')}{i}" for i in range(300)]
+    table = spark.createDataFrame([("own", " ".join(long_).upper()), ("tiny", "One!"), (None, "x"), ("empty", " ")], "label string, text string")
+    templates = licenses.templates_of(table)
+    assert [x for x, _ in templates] == ["own", "tiny"]
+    filler = lambda n: [rng.choice(["lorem", "ipsum", "b2", "ones_"]) for _ in range(n)]
+    cut = [x for i, x in enumerate(long_) if i % 11]
+    rows = [(1, " ".join(long_)), (2, " ".join(filler(777) + long_ + filler(50))), (3, " ".join(filler(5000) + cut)), (4, " ".join(long_[:250])), (5, " ".join(filler(5000)) + " one"), (6, " ".join(x + " pad pad pad pad pad" for x in long_))]
+    got = {r.doc_id: r.licenses for r in licenses.find(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}
+    assert [got[i].labels for i in range(1, 7)] == [["own"], ["own"], ["own"], [], ["tiny"], []]
+    assert got[1].score == 1.0 and 0.9 <= got[3].score < 1
+    full = spark.createDataFrame([(i, " ".join(filler(60 * i)) + t + " end") for i, (_, t) in enumerate(licenses.FULL_TEXTS)], "doc_id long, text string")
+    for r in licenses.find(full).collect():
+        assert licenses.FULL_TEXTS[r.doc_id][0] in r.licenses.labels
+
+
 def test_token_histogram(spark, docs, rows, empty):
     n = np.array([len(tokens.encoder().encode_ordinary(r[1] or "")) for r in rows])
     got = tokens.token_counts(docs).collect()
