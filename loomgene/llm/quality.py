@@ -30,7 +30,7 @@ from .textcore import SPACE_CLASS, chunks, column_bytes, mix, scan
 
 SKETCH_BITS = 6
 MIDDLE, OUTER = 50, 90  # per cent
-WIDTH, LANG_WIDTH = 2, 2.5
+WIDTH, LANG_WIDTH = 2.25, 2.5
 LEAST_ROWS = 50
 #: Of each rate: its counts, its units, and per how many units it is taken.
 RATES = {"symbol_rate": ("n_symbols", "n_words", 10_000), "repeat_rate": ("n_repeat_words", "n_words", 10_000), "dup_line_rate": ("n_dup_lines", "n_lines", 10_000), "upper_rate": ("n_upper", "word_chars", 10_000), "word_length": ("word_chars", "n_words", 1_000)}
