@@ -3,9 +3,10 @@
 Each learned language has a codeword of +1 and -1; for each bit a binary classifier over hashed
 byte n-grams (lengths NGRAMS, A-Z lower-cased) tells the languages with +1 from those with -1. The
 classifiers are naive Bayes: their counts come from one pass over all training texts, as sums per
-language and n-gram that merge in any order, and no sample is drawn. A second pass measures how
-well each bit does on the training texts; decoding adds each bit's logistic loss, weighted by that,
-and picks the language with the least. A prediction is `ambiguous` if the runner-up is close.
+language and n-gram that merge in any order, and no sample is drawn. One text in FOLDS, by a hash of
+it, is counted apart: classifiers without these measure on them how well each bit does, and then
+they are added. Decoding adds each bit's logistic loss, weighted by that, and picks the language
+with the least. A prediction is `ambiguous` if the runner-up is close.
 
 Every language's codeword differs from any other in over a third of the bits (checked when the
 code is made), so a few wrong bits are corrected.
@@ -38,6 +39,10 @@ CLOSE = 0.2
 UNKNOWN = "und"
 #: At most so many languages are learned: the counts, BUCKETS * 8 bytes for each, go to the driver.
 MOST_LANGUAGES = 400
+#: One training text in so many measures the bits' weights.
+FOLDS = 5
+#: Tasks' sums meet in so many groups of tasks first, so that none adds up those of all tasks.
+SALTS = 512
 
 
 def code(languages: int) -> np.ndarray:
@@ -123,37 +128,47 @@ class Model:
 
 
 def _counts(training: DataFrame, languages: list[str]) -> np.ndarray:
-    """n-gram counts of each language over all training rows: one row per task and language is shuffled, then summed by n-gram block."""
+    """n-gram counts of each fold and language over all training rows (two folds: those that measure, and the rest).
+
+    A row per task, language and n-gram block is shuffled; sums of SALTS groups of tasks are summed then.
+    """
     import pyarrow as pa
 
     place, blocks = {x: i for i, x in enumerate(languages)}, 64
+    names, types = ["fold", "k", "j", "salt", "v"], [pa.int32()] * 4 + [pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(place), BUCKETS + 1))
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId() % SALTS
+        total: dict[tuple[int, int], np.ndarray] = {}
         for b in batches:
-            texts, at = column_bytes(b.column(0)), b.column(1).to_pylist()
-            for k in sorted(set(at)):
-                for _, _, _, orders in grams([t for t, x in zip(texts, at) if x == k]):
+            texts, at, fold = column_bytes(b.column(0)), b.column(1).to_pylist(), b.column(2).to_pylist()
+            for key in sorted(set(zip(fold, at))):
+                own = total.setdefault((key[0], place[key[1]]), np.zeros(BUCKETS + 1, np.int64))
+                for _, _, _, orders in grams([t for t, f, x in zip(texts, fold, at) if (f, x) == key]):
                     for h in orders:
-                        total[place[k]] += np.bincount(h, minlength=BUCKETS + 1)
-        total = total[:, :-1]
-        rows = [(k, j, v[j * BUCKETS // blocks : (j + 1) * BUCKETS // blocks].tolist()) for k, v in enumerate(total) if v.any() for j in range(blocks)]
-        cols = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.float64()))], names=["k", "j", "v"])
+                        own += np.bincount(h, minlength=BUCKETS + 1)
+        rows = [(f, k, j, salt, v[j * BUCKETS // blocks : (j + 1) * BUCKETS // blocks].tobytes()) for (f, k), v in total.items() for j in range(blocks)]
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.asarray(v, np.float64) for v in table.column("v").to_pylist())
-        return pa.table({"k": table.column("k").slice(0, 1), "j": table.column("j").slice(0, 1), "v": pa.array([total.tolist()], pa.list_(pa.float64()))})
-
-    kind = "k int, j int, v array<double>"
-    out = np.zeros((len(languages), BUCKETS))
-    for k, j, v in training.select("_text", "_lang").mapInArrow(run, kind).groupBy("k", "j").applyInArrow(add, kind).collect():  # languages * blocks rows
-        out[k, j * BUCKETS // blocks : (j + 1) * BUCKETS // blocks] = v
+        total = np.zeros(BUCKETS // blocks, np.int64)
+        for v in table.column("v"):
+            total += np.frombuffer(v.as_buffer(), np.int64)
+        return table.slice(0, 1).set_column(4, "v", pa.array([total.tobytes()], pa.binary()))
+
+    kind = "fold int, k int, j int, salt int, v binary"
+    sums = training.select("_text", "_lang", "_fold").mapInArrow(run, kind).groupBy("fold", "k", "j", "salt").applyInArrow(add, kind)
+    out = np.zeros((2, len(languages), BUCKETS), np.int64)
+    for f, k, j, _, v in sums.groupBy("fold", "k", "j").applyInArrow(add, kind).collect():  # 2 * languages * blocks rows
+        out[f, k, j * BUCKETS // blocks : (j + 1) * BUCKETS // blocks] = np.frombuffer(v, np.int64)
     return out
 
 
 def _weights(training: DataFrame, model: Model) -> np.ndarray:
-    """Of each bit the log odds of its being right on all training rows, scaled to a mean of 1."""
+    """Of each bit the log odds of its being right on these rows, scaled to a mean of 1."""
     import pyarrow as pa
 
     shared = training.sparkSession.sparkContext.broadcast(model)
@@ -180,12 +195,14 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", weigh:
     """A model from all rows of df with a language."""
     small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{text_col}`").alias("_text"), F.col(f"`{lang_col}`").alias("_lang")).where("_lang is not null and _text is not null")
+    rows = rows.withColumn("_fold", (F.pmod(F.xxhash64(F.lit("fold"), "_text"), F.lit(FOLDS)) == 0).cast("int"))
     languages = sorted(r[0] for r in rows.select("_lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages; raise MOST_LANGUAGES if the driver can hold {BUCKETS * 8} bytes for each")
-    model = Model(languages, _counts(rows, languages))
+    rest, measuring = _counts(rows, languages)
+    model = Model(languages, rest + measuring)
     if weigh and len(languages) > 1:
-        model.weights = _weights(rows, model)
+        model.weights = _weights(rows.where("_fold = 1"), Model(languages, rest))
     return model
 
 
