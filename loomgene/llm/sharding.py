@@ -9,7 +9,9 @@ again with the same result.
 
 Hot groups: copies with ids of their own scatter like any record. Rows that are equal in every
 column share a hash; where they swell a bucket beyond HOT times its size they are dealt over
-sub-buckets by row number (only then the order also depends on how the input is partitioned).
+sub-buckets by row number (only then the order also depends on how the input is partitioned). That
+placement is written before it is counted, so that a task that runs again cannot place them anew.
+Pass two has as many partitions as buckets, so a task holds a few buckets whatever the input's size.
 
 Nulls in any column are values like others (a null text has size 1). Maps, which have no hash, are
 carried along. An empty table gives an empty result.
@@ -28,6 +30,8 @@ SEED = 2718281828
 BUCKET_BYTES = 32 << 20
 LEAST_BUCKETS = 16
 HOT = 4
+#: Tasks of pass two at most; beyond, a task shuffles more buckets, one after another.
+MOST_TASKS = 100_000
 
 
 def _hash(df: DataFrame, seed: int):
@@ -61,6 +65,8 @@ def shuffle(df: DataFrame, text_col: str = "text", shards: int = SHARDS, seed: i
         parts = F.create_map(*[F.lit(x) for pair in keys for x in pair])[F.col("_key")]
         sub = F.coalesce(1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts), sub)
     placed = placed.withColumn("_sub", sub)
+    if keys:
+        placed = written(placed, "placed")
     counts = written(placed.groupBy("_bucket", "_sub").agg(F.count("*").alias("n")), "buckets") if keys else counts.withColumn("_sub", sub)
     before = counts.selectExpr("_bucket", "_sub", "sum(n) over (order by _bucket, _sub) - n as _before")
     ready = placed.join(F.broadcast(before) if buckets <= 100_000 else before, ["_bucket", "_sub"])
@@ -79,7 +85,8 @@ def shuffle(df: DataFrame, text_col: str = "text", shards: int = SHARDS, seed: i
         bucket = bucket.select(own).take(pa.array(order))
         return bucket.append_column("_shard", pa.array((at % shards).astype(np.int32))).append_column("_slot", pa.array(at // shards))
 
-    done = ready.groupBy("_bucket", "_sub").applyInArrow(fisher_yates, schema)
+    groups = buckets + sum(n for _, n in keys)
+    done = ready.repartition(int(min(groups, MOST_TASKS)), "_bucket", "_sub").groupBy("_bucket", "_sub").applyInArrow(fisher_yates, schema)
     return done.select(*[F.col(o).alias(n) for o, n in zip(own, names)], F.col("_shard").alias(free_name(df, "shard")), F.col("_slot").alias(free_name(df, "slot")))
 
 

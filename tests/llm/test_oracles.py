@@ -22,6 +22,26 @@ def test_one_row_for_each_document(spark):
         assert df.count() == n == df.select("doc_id").distinct().count(), name
 
 
+def test_shuffle_query_against_sql(spark):
+    """Sizes and checksums by SQL's own means; the law: counts at most one apart, slots without gaps."""
+    import zlib
+
+    got = queries.QUERIES["op3_shuffle"](spark, FOLDER).collect()
+    size = dict(duck(FOLDER).execute("SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 FROM documents").fetchall())
+    text = dict(duck(FOLDER).execute("SELECT doc_id, text FROM documents").fetchall())
+    assert {r.doc_id: r["size"] for r in got} == size and len(got) == len(size)
+    assert all(r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) and r.law == "rows" and r.grown_shard is None for r in got)
+    count = Counter(r.shard for r in got)
+    assert sorted(count) == list(range(8)) and max(count.values()) - min(count.values()) <= 1
+    assert {(r.shard, r.slot) for r in got} == {(k, i) for k, n in count.items() for i in range(n)}
+
+
+def test_language_query_against_held_out_rows(spark):
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    held = [r for r in queries.QUERIES["op2_langid"](spark, FOLDER).collect() if r.held_out]
+    assert len(held) > 30 and all(r.lang_pred == lang[r.doc_id] for r in held if r.lang_pred != "und")
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
     from loomgene.llm import decontaminate, quality, simhash
