@@ -19,8 +19,11 @@ order is one more pass like 2. Orders below the highest count the different word
 where it begins a text, its occurrences; contexts that would reach beyond a text's begin are shorter.
 
 Files lie in the shared folder, written whole and renamed, with equal bytes if a task runs again.
+After a pass its buckets' parts are put together in at most 2 ** SHELF_BITS files of each kind, with a
+table of offsets, and mapped without a descriptor being kept; so neither grows with the input.
 All training texts are counted, and nothing is pruned. Memory is bounded by a bucket (buckets follow
-the input's bytes) and a batch. A token is a word [^\x20\x09-\x0D]+ with A-Z lower-cased, or a text's end.
+the input's bytes, without a cap) and a batch; numbers of n-grams of one order have 32 bits, more are
+an error. A token is a word [^\x20\x09-\x0D]+ with A-Z lower-cased, or a text's end.
 
 Nulls: a null text is empty and has one token, its end. With no training text each token has the
 probability 1 (one unknown word). Empty tables give empty results, repeated rows are counted each.
@@ -29,15 +32,16 @@ probability 1 (one unknown word). Empty tables give empty results, repeated rows
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import file_dir, free_name, map_file, small_batches, write_file
+from .store import concatenated, file_dir, free_name, map_file, removed, small_batches, write_file
 from .textcore import SPACE_CLASS, chunks, column_bytes, mix, scan, unmix
 
 #: Hashes of a text's end and begin.
@@ -45,6 +49,7 @@ END, BEGIN = np.uint64(0x27D4EB2F165667C5), np.uint64(0x85EBCA77C2B2AE63)
 BUCKET_BYTES = 8 << 20
 FLUSH = 1 << 21
 CHUNK = 1 << 20
+SHELF_BITS = 6
 
 
 def pack(values: np.ndarray, sorted_: bool = False) -> bytes:
@@ -132,15 +137,59 @@ class Model:
     firsts: dict[int, np.ndarray] = field(default_factory=dict)  # of each order's buckets the first n-gram's number, and how many there are
     edges: dict[int, np.ndarray] = field(default_factory=dict)  # of each order's buckets from 3 on the first context's number, and how many there are
     higher: dict[int, tuple[float, ...]] = field(default_factory=dict)  # discounts from order 3 on
+    files: dict[str, np.ndarray] = field(default_factory=dict)  # of each kind where the buckets' bytes begin, all shelves in a row
 
     @property
     def words(self) -> int:
         return self.starts[-1] if self.starts else 0
 
 
-@functools.lru_cache(1 << 16)
-def _mapped(uri: str, dtype: str) -> np.ndarray:
-    return map_file(uri, np.dtype(dtype))
+    def shelf(self, bucket: int) -> int:
+        return bucket >> max(0, self.bits - SHELF_BITS)
+
+    def view(self, kind: str, bucket: int, dtype: str) -> np.ndarray:
+        """A bucket's array of a kind, mapped."""
+        lo, hi = self.files[kind][bucket : bucket + 2].tolist()
+        if lo == hi:
+            return np.empty(0, dtype)
+        k = self.shelf(bucket)
+        base = int(self.files[kind][k << max(0, self.bits - SHELF_BITS)])
+        return _mapped(f"{self.uri}/{kind}/{k}")[lo - base : hi - base].view(dtype)
+
+
+@functools.lru_cache(1 << 12)
+def _mapped(uri: str) -> np.ndarray:
+    return map_file(uri)
+
+
+def _part(uri: str, kind: str, bucket: int) -> str:
+    return f"{uri}/{kind}.parts/{bucket}"
+
+
+def put_together(spark: SparkSession, model: Model, *kinds: str) -> None:
+    """Parts of finished passes become shelves; the shuffles that made them are released."""
+    import pyarrow as pa
+
+    uri, bits, n = model.uri, model.bits, 1 << min(SHELF_BITS, model.bits)
+    width = 1 << max(0, bits - SHELF_BITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for job in b.column(0).to_pylist():
+                kind, k = kinds[job // n], job % n
+                sizes = concatenated([_part(uri, kind, x) for x in range(k * width, (k + 1) * width)], f"{uri}/{kind}/{k}")
+                filled = [(job // n, k * width + i, size) for i, size in enumerate(sizes) if size]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*filled)) or [(), (), ()]], names=["kind", "bucket", "size"])
+
+    sizes = np.zeros((len(kinds), (1 << bits) + 1), np.int64)
+    jobs = n * len(kinds)
+    for kind, b, size in spark.range(0, jobs, 1, jobs).mapInArrow(run, "kind bigint, bucket bigint, size bigint").collect():  # a row per bucket
+        sizes[kind, b + 1] = size
+    for kind, s in zip(kinds, sizes):
+        model.files[kind] = np.cumsum(s)
+        removed(f"{uri}/{kind}.parts", spark)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
@@ -159,7 +208,7 @@ def word_numbers(model: Model, hashes: np.ndarray) -> np.ndarray:
     for b, x, y in _by_bucket(own, model.bits):
         if model.starts[b] == model.starts[b + 1]:
             continue
-        table = _mapped(f"{model.uri}/words-{b}", "<u8")
+        table = model.view("words", b, "<u8")
         at = np.minimum(np.searchsorted(table, own[x:y]), len(table) - 1)
         out[x:y] = np.where(table[at] == own[x:y], model.starts[b] + at, model.words + 1)
     out[own == BEGIN] = model.words
@@ -177,24 +226,25 @@ def pair_counts(model: Model, keys: np.ndarray) -> np.ndarray:
     for b, x, y in _by_bucket(own, model.bits):
         if b not in model.filled:
             continue
-        table = _mapped(f"{model.uri}/pairs-{b}", "<u8")
+        table = model.view("pairs", b, "<u8")
         at = np.minimum(np.searchsorted(table, own[x:y]), len(table) - 1)
-        out[x:y] = np.where(table[at] == own[x:y], _read_counts(f"{model.uri}/counts-{b}", at), 0)
+        out[x:y] = np.where(table[at] == own[x:y], _read_counts(model, "counts", b, at), 0)
     return out[back]
 
 
-def _write_counts(uri: str, n: np.ndarray) -> None:
-    """A byte for each number, and those of 255 or more with their places in a second file."""
-    write_file(uri, np.minimum(n, 255).astype("u1").tobytes())
+def _write_counts(uri: str, kind: str, bucket: int, n: np.ndarray) -> None:
+    """A byte for each number, and those of 255 or more with their places in a kind of their own."""
+    write_file(_part(uri, kind, bucket), np.minimum(n, 255).astype("u1").tobytes())
     large = np.flatnonzero(n >= 255).astype(np.uint64)
-    write_file(f"{uri}-large", np.concatenate([large, n[n >= 255].astype(np.uint64)]).astype("<u8").tobytes())
+    if len(large):
+        write_file(_part(uri, f"{kind}-large", bucket), np.concatenate([large, n[n >= 255].astype(np.uint64)]).astype("<u8").tobytes())
 
 
-def _read_counts(uri: str, at: np.ndarray) -> np.ndarray:
-    n = _mapped(uri, "u1")[at].astype(np.int64)
+def _read_counts(model: Model, kind: str, bucket: int, at: np.ndarray) -> np.ndarray:
+    n = model.view(kind, bucket, "u1")[at].astype(np.int64)
     large = np.flatnonzero(n == 255)
     if len(large):
-        over = _mapped(f"{uri}-large", "<u8").reshape(2, -1)
+        over = model.view(f"{kind}-large", bucket, "<u8").reshape(2, -1)
         n[large] = over[1][np.searchsorted(over[0], at[large].astype(np.uint64)).clip(0, over.shape[1] - 1)]
     return n
 
@@ -218,7 +268,7 @@ def gram_numbers(model: Model, order: int, context: np.ndarray, word: np.ndarray
     for b, x, y in parts:
         if first[b] == first[b + 1]:
             continue
-        table = _mapped(f"{model.uri}/{'pairs' if order == 2 else f'grams{order}'}-{b}", "<u8")
+        table = model.view("pairs" if order == 2 else f"grams{order}", b, "<u8")
         at = np.minimum(np.searchsorted(table, own[x:y]), len(table) - 1)
         found[x:y] = np.where(table[at] == own[x:y], first[b] + at, -1)
     out[known] = found[back]
@@ -249,7 +299,7 @@ def _each(first: np.ndarray, numbers: np.ndarray, read) -> np.ndarray:
 def gram_counts(model: Model, order: int, numbers: np.ndarray) -> np.ndarray:
     """Counts of n-grams as their order uses them, 0 for -1."""
     name = "counts" if order == model.order else "contexts"
-    return _each(model.firsts[order], numbers, lambda b, at: _read_counts(f"{model.uri}/{name}{'' if order == 2 else order}-{b}", at))
+    return _each(model.firsts[order], numbers, lambda b, at: _read_counts(model, f"{name}{'' if order == 2 else order}", b, at))
 
 
 def context_stats(model: Model, order: int, numbers: np.ndarray) -> np.ndarray:
@@ -260,7 +310,7 @@ def context_stats(model: Model, order: int, numbers: np.ndarray) -> np.ndarray:
         if first[b] == first[b + 1]:
             return np.zeros((len(at), 4), np.int64)
         size = int(edges[b + 1] - edges[b])
-        return np.stack([_read_counts(f"{model.uri}/stats{order}-{b}", at + i * size) for i in range(4)], 1)
+        return np.stack([_read_counts(model, f"stats{order}", b, at + i * size) for i in range(4)], 1)
 
     out = np.zeros((len(numbers), 4), np.int64)
     known = np.flatnonzero(numbers >= 0)
@@ -274,7 +324,7 @@ def _suffixes(model: Model, order: int, context: np.ndarray, word: np.ndarray) -
     if order == 2:
         return word
     name = "pairs" if order == 3 else f"grams{order - 1}"
-    keys = _each(model.firsts[order - 1], context, lambda b, at: _mapped(f"{model.uri}/{name}-{b}", "<u8")[at].view(np.int64)).view(np.uint64)
+    keys = _each(model.firsts[order - 1], context, lambda b, at: model.view(name, b, "<u8")[at].view(np.int64)).view(np.uint64)
     keys = unmix(keys) if order == 3 else keys
     inner = _suffixes(model, order - 1, (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64))
     return gram_numbers(model, order - 1, inner, word)
@@ -291,7 +341,7 @@ def word_stats(model: Model, numbers: np.ndarray) -> np.ndarray:
     own_ok = own <= model.words
     for k in np.unique(own[own_ok] // model.span).tolist():
         at = np.flatnonzero(own_ok & (own // model.span == k))
-        table = _mapped(f"{model.uri}/stats-{k}", "<u4").reshape(len(STATS) + 1, -1)
+        table = model.view("stats", k, "<u4").reshape(len(STATS) + 1, -1)
         rows = own[at] - k * model.span
         low = table[:, rows].astype(np.int64)
         low[0] += low[len(STATS)] << 32  # totals may pass 32 bits
@@ -317,7 +367,7 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
     small_batches(spark)
     texts = df.select(F.col(f"`{text_col}`").alias("t"))
     total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    bits = max(4, min(16, int(np.ceil(np.log2(max(1, total / bucket_bytes))))))
+    bits = max(4, int(np.ceil(np.log2(max(1, total / bucket_bytes)))))
     model = Model(file_dir(spark, "lm"), bits, order=order)
     binary = [pa.int32(), pa.binary(), pa.binary()]
     kind = "bucket int, keys binary, n binary"
@@ -342,8 +392,8 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
     def write_words(table: pa.Table) -> pa.Table:
         keys, n = _merge(table, "n")
         b = table.column("bucket")[0].as_py()
-        write_file(f"{uri}/words-{b}", keys.astype("<u8").tobytes())
-        write_file(f"{uri}/wordcounts-{b}", n.astype("<u8").tobytes())
+        write_file(_part(uri, "words", b), keys.astype("<u8").tobytes())
+        write_file(_part(uri, "wordcounts", b), n.astype("<u8").tobytes())
         return pa.table({"bucket": pa.array([b], pa.int32()), "words": pa.array([len(keys)]), "tokens": pa.array([int(n.sum())])})
 
     made = texts.mapInArrow(count_words, kind).groupBy("bucket").applyInArrow(write_words, "bucket int, words bigint, tokens bigint").collect()  # a row per bucket
@@ -354,6 +404,7 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
         raise ValueError("more than 2 ** 32 different words")
     if not model.words:
         return model
+    put_together(spark, model, "words", "wordcounts")
     model.span = max(1 << 14, -(-(model.words + 1) >> bits))
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,8 +428,8 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
     def write_pairs(table: pa.Table) -> pa.Table:
         keys, n = _merge(table, "n")
         b = table.column("bucket")[0].as_py()
-        write_file(f"{uri}/pairs-{b}", keys.astype("<u8").tobytes())
-        _write_counts(f"{uri}/counts-{b}", n)
+        write_file(_part(uri, "pairs", b), keys.astype("<u8").tobytes())
+        _write_counts(uri, "counts", b, n)
         return spread(b, keys, n) if order == 2 else pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([[len(keys)]], pa.list_(pa.int64()))})
 
     def spread(b: int, keys: np.ndarray, n: np.ndarray) -> pa.Table:
@@ -416,13 +467,13 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
                 break
             lo, hi = max(int(starts[b]), first), min(int(starts[b + 1]), first + n)
             if lo < hi:
-                out[5, lo - first : hi - first] = _mapped(f"{uri}/wordcounts-{b}", "<u8")[lo - starts[b] : hi - starts[b]]
+                out[5, lo - first : hi - first] = model.view("wordcounts", b, "<u8")[lo - starts[b] : hi - starts[b]]
         before = out[4]
         if (out[1:6] >> np.uint64(32)).any():
             raise ValueError("a count of pairs or of a word passes 32 bits")
         out[len(STATS)] = out[0] >> np.uint64(32)
         out[0] &= np.uint64(0xFFFFFFFF)
-        write_file(f"{uri}/stats-{k}", out.astype("<u4").tobytes())
+        write_file(_part(uri, "stats", k), out.astype("<u4").tobytes())
         seen = [int((before == c).sum()) for c in (1, 2, 3, 4)] + [int((before > 0).sum())]
         return pa.table({"range": pa.array([k], pa.int32()), "n": pa.array([seen], pa.list_(pa.int64()))})
 
@@ -455,14 +506,14 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
         own, *sums = add_up(keys >> np.uint64(32), n, *((n == k).astype(np.uint64) for k in (1, 2)), (n >= 3).astype(np.uint64))
         out = np.zeros((4, hi - lo), np.uint64)
         out[:, own.astype(np.int64) - lo] = np.stack(sums)
-        _write_counts(f"{uri}/stats{o}-{b}", out.ravel())
+        _write_counts(uri, f"stats{o}", b, out.ravel())
 
     def write_grams(o: int):
         def run(table: pa.Table) -> pa.Table:
             keys, n = _merge(table, "n")
             b = table.column("bucket")[0].as_py()
-            write_file(f"{uri}/grams{o}-{b}", keys.astype("<u8").tobytes())
-            _write_counts(f"{uri}/counts{o}-{b}", n)
+            write_file(_part(uri, f"grams{o}", b), keys.astype("<u8").tobytes())
+            _write_counts(uri, f"counts{o}", b, n)
             if o == order:
                 write_context_stats(o, b, keys, n)
             return pa.table({"bucket": pa.array([b], pa.int32()), "n": pa.array([[len(keys), *four(n)]], pa.list_(pa.int64()))})
@@ -476,7 +527,7 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
             first = model.firsts[o - 1]
             for found in batches:
                 for b in found.column(0).to_pylist():
-                    table = _mapped(f"{uri}/grams{o}-{b}", "<u8")
+                    table = model.view(f"grams{o}", b, "<u8")
                     sums = Sums(bits, first[:-1].astype(np.uint64))
                     for x in range(0, len(table), FLUSH):
                         keys = np.asarray(table[x : x + FLUSH])
@@ -491,11 +542,11 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
         def run(table: pa.Table) -> pa.Table:
             own, sums = _merge(table, "n")
             b = table.column("bucket")[0].as_py()
-            keys = np.asarray(_mapped(f"{uri}/{'pairs' if o == 2 else f'grams{o}'}-{b}", "<u8"))
+            keys = model.view("pairs" if o == 2 else f"grams{o}", b, "<u8")
             n = np.zeros(len(keys), np.uint64)
             n[own.astype(np.int64) - model.firsts[o][b]] = sums
-            n = np.where(n > 0, n, _read_counts(f"{uri}/counts{'' if o == 2 else o}-{b}", np.arange(len(keys))).astype(np.uint64))
-            _write_counts(f"{uri}/contexts{'' if o == 2 else o}-{b}", n)
+            n = np.where(n > 0, n, _read_counts(model, f"counts{'' if o == 2 else o}", b, np.arange(len(keys))).astype(np.uint64))
+            _write_counts(uri, f"contexts{'' if o == 2 else o}", b, n)
             if o == 2:
                 return spread(b, keys, n)
             write_context_stats(o, b, keys, n)
@@ -512,15 +563,19 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
             raise ValueError("more than 2 ** 32 different n-grams")
         return first
 
+    counts = lambda name: (name, f"{name}-large")
     pairs = texts.mapInArrow(count_pairs, kind).groupBy("bucket")
+    last = ["pairs", *counts("counts")]
     if order == 2:
         partial = pairs.applyInArrow(write_pairs, shares)
     else:
         model.firsts[2] = numbered(pairs.applyInArrow(write_pairs, told).collect())  # a row per bucket
+        put_together(spark, model, *last)
         for o in range(3, order + 1):
             model.edges[o] = np.linspace(0, model.firsts[o - 1][-1], (1 << bits) + 1).astype(np.int64)
             made = texts.mapInArrow(count_grams(o), kind).groupBy("bucket").applyInArrow(write_grams(o), told).collect()  # a row per bucket
             model.firsts[o] = numbered(made)
+            put_together(spark, model, f"grams{o}", *counts(f"counts{o}"), *(counts(f"stats{o}") if o == order else ()))
         model.higher[order] = _discounts(np.sum([r.n[1:] for r in made], 0).tolist() if made else [0] * 4)
         for o in range(order, 2, -1):
             filled = lambda k: np.flatnonzero(np.diff(model.firsts[k])).tolist()
@@ -529,10 +584,12 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
             found = spark.createDataFrame([(b,) for b in filled(o)], "bucket int").repartition(max(1, len(filled(o)) // 2), "bucket")
             lower = found.mapInArrow(suffixes(o), kind).union(blank).groupBy("bucket")
             if o == 3:
-                partial = lower.applyInArrow(write_contexts(2), shares)
+                partial, last = lower.applyInArrow(write_contexts(2), shares), counts("contexts")
             else:
                 model.higher[o - 1] = _discounts(np.sum([r.n[1:] for r in lower.applyInArrow(write_contexts(o - 1), told).collect()], 0).tolist())  # a row per bucket
+                put_together(spark, model, *counts(f"contexts{o - 1}"), *counts(f"stats{o - 1}"))
     stats = partial.groupBy("range").applyInArrow(write_stats, "range int, n array<bigint>").collect()  # a row per range
+    put_together(spark, model, "stats", *last)
     own = next(r.n for r in stats if r.range < 0)
     model.discounts, model.pairs, model.filled = _discounts(own), own[4], frozenset(own[5:])
     low = [sum(r.n[i] for r in stats if r.range >= 0) for i in range(5)]

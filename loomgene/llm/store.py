@@ -72,27 +72,51 @@ def write_file(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
-def map_file(uri: str, dtype):
-    """The file memory-mapped as a numpy array.
+def concatenated(parts: list[str], uri: str) -> list[int]:
+    """Writes the files `parts` one after another as one, renamed when whole; the size of each, 0 for one that isn't there."""
+    from pyarrow import fs
+
+    system, path = _filesystem(uri)
+    parts = [_filesystem(p)[1] for p in parts]
+    sizes = [f.size if f.type == fs.FileType.File else 0 for f in system.get_file_info(parts)]
+    if not any(sizes):
+        return sizes
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    own = f"{path}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(own) as out:
+        for p, size in zip(parts, sizes):
+            if size:
+                with system.open_input_stream(p) as source:
+                    while block := source.read(1 << 22):
+                        out.write(block)
+    system.move(own, path)
+    return sizes
+
+
+def map_file(uri: str):
+    """The bytes of a file, memory-mapped, as a numpy array; no descriptor stays open.
 
     A mounted shared folder is mapped in place. From a store that cannot be mapped the file is
     copied once per worker into an unlinked temporary file, which goes with the process.
     """
+    import mmap
+
     import numpy as np
     from pyarrow import fs
 
+    def mapped(file) -> np.ndarray:
+        size = os.fstat(file.fileno()).st_size
+        return np.frombuffer(mmap.mmap(file.fileno(), size, access=mmap.ACCESS_READ, trackfd=False), np.uint8) if size else np.empty(0, np.uint8)
+
     system, path = _filesystem(uri)
     if isinstance(system, fs.LocalFileSystem):
-        if not os.path.getsize(path):
-            return np.empty(0, dtype)
-        return np.memmap(path, dtype=dtype, mode="r")
+        with open(path, "rb") as file:
+            return mapped(file)
     with tempfile.TemporaryFile() as copy, system.open_input_stream(path) as source:
         while block := source.read(1 << 22):
             copy.write(block)
         copy.flush()
-        if not copy.tell():
-            return np.empty(0, dtype)
-        return np.memmap(copy, dtype=dtype, mode="r")
+        return mapped(copy)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

@@ -601,6 +601,24 @@ def test_language_model_of_higher_order(spark, order):
     assert lm.log_probabilities(pair, [b"a b a b"])[3][0] != got[20]
 
 
+def test_language_model_of_many_buckets_keeps_few_files(spark):
+    """2 ** 14 buckets: the same scores as with few, in a few large files, and no descriptor stays open."""
+    import os
+    from pathlib import Path
+
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    few, many = lm.train(df, order=3), lm.train(df, bucket_bytes=sum(map(len, texts)) / (1 << 14), order=3)
+    assert (few.bits, many.bits) == (4, 14)
+    raw = [t.encode() for t in texts]
+    before = len(os.listdir("/proc/self/fd"))
+    assert all(np.allclose(x, y) for x, y in zip(lm.log_probabilities(few, raw), lm.log_probabilities(many, raw)))
+    assert len(os.listdir("/proc/self/fd")) <= before + 2
+    files = [x for x in Path(many.uri.removeprefix("file://")).rglob("*") if x.is_file()]
+    assert len(files) <= 64 * len(many.files) and not any(".part" in str(x) for x in files)
+
+
 def test_language_model_large_counts(spark):
     model = lm.train(spark.createDataFrame([("a b " * 700,), ("c",)], "text string"))
     _, known, _, score = lm.log_probabilities(model, [b"a b", b"b a", b"zz"])
