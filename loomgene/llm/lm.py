@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .store import concatenated, file_dir, free_name, map_file, removed, small_batches, write_file
+from .store import file_dir, free_name, map_file, removed, shelved, small_batches, write_file
 from .textcore import SPACE_CLASS, chunks, column_bytes, mix, scan, unmix
 
 #: Hashes of a text's end and begin.
@@ -172,26 +172,31 @@ def put_together(spark: SparkSession, model: Model, *kinds: str) -> None:
 
     uri, bits, n = model.uri, model.bits, 1 << min(SHELF_BITS, model.bits)
     width = 1 << max(0, bits - SHELF_BITS)
+    gc.collect()  # plans of finished passes; their shuffles' files go when the driver's JVM notices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for job in b.column(0).to_pylist():
                 kind, k = kinds[job // n], job % n
-                sizes = concatenated([_part(uri, kind, x) for x in range(k * width, (k + 1) * width)], f"{uri}/{kind}/{k}")
+                sizes = shelved([_part(uri, kind, x) for x in range(k * width, (k + 1) * width)], f"{uri}/{kind}/{k}")
                 filled = [(job // n, k * width + i, size) for i, size in enumerate(sizes) if size]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*filled)) or [(), (), ()]], names=["kind", "bucket", "size"])
 
     sizes = np.zeros((len(kinds), (1 << bits) + 1), np.int64)
     jobs = n * len(kinds)
-    for kind, b, size in spark.range(0, jobs, 1, jobs).mapInArrow(run, "kind bigint, bucket bigint, size bigint").collect():  # a row per bucket
+    for kind, b, size in spark.range(0, jobs, 1, min(jobs, 64)).mapInArrow(run, "kind bigint, bucket bigint, size bigint").collect():  # a row per bucket
         sizes[kind, b + 1] = size
     for kind, s in zip(kinds, sizes):
         model.files[kind] = np.cumsum(s)
-        removed(f"{uri}/{kind}.parts", spark)
-    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def _drop(spark: SparkSession, model: Model, *kinds: str) -> None:
+    for kind in kinds:
+        removed(f"{model.uri}/{kind}", spark)
+        del model.files[kind]
+
+
 def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, first, last) of sorted keys."""
     high = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -341,11 +346,9 @@ def word_stats(model: Model, numbers: np.ndarray) -> np.ndarray:
     own_ok = own <= model.words
     for k in np.unique(own[own_ok] // model.span).tolist():
         at = np.flatnonzero(own_ok & (own // model.span == k))
-        table = model.view("stats", k, "<u4").reshape(len(STATS) + 1, -1)
+        size = min(model.span, model.words + 1 - k * model.span)
         rows = own[at] - k * model.span
-        low = table[:, rows].astype(np.int64)
-        low[0] += low[len(STATS)] << 32  # totals may pass 32 bits
-        out[at] = low[: len(STATS)].T
+        out[at] = np.stack([_read_counts(model, "stats", k, rows + i * size) for i in range(len(STATS))], 1)
     return out[back]
 
 
@@ -459,7 +462,7 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
             return pa.table({"range": pa.array([k], pa.int32()), "n": pa.array([[*cols[0][:5].tolist(), *(keys[5:] - np.uint64(5)).tolist()]], pa.list_(pa.int64()))})
         first = k * model.span
         n = min(model.span, model.words + 1 - first)
-        out = np.zeros((len(STATS) + 1, n), np.uint64)
+        out = np.zeros((len(STATS), n), np.uint64)
         at = (keys - np.uint64(first)).astype(np.int64)
         out[: len(cols), at] = np.stack(cols)
         for b in range(int(np.searchsorted(starts, first, "right")) - 1, len(starts) - 1):
@@ -469,11 +472,7 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
             if lo < hi:
                 out[5, lo - first : hi - first] = model.view("wordcounts", b, "<u8")[lo - starts[b] : hi - starts[b]]
         before = out[4]
-        if (out[1:6] >> np.uint64(32)).any():
-            raise ValueError("a count of pairs or of a word passes 32 bits")
-        out[len(STATS)] = out[0] >> np.uint64(32)
-        out[0] &= np.uint64(0xFFFFFFFF)
-        write_file(_part(uri, "stats", k), out.astype("<u4").tobytes())
+        _write_counts(uri, "stats", k, out.ravel())
         seen = [int((before == c).sum()) for c in (1, 2, 3, 4)] + [int((before > 0).sum())]
         return pa.table({"range": pa.array([k], pa.int32()), "n": pa.array([seen], pa.list_(pa.int64()))})
 
@@ -589,7 +588,8 @@ def train(df: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTE
                 model.higher[o - 1] = _discounts(np.sum([r.n[1:] for r in lower.applyInArrow(write_contexts(o - 1), told).collect()], 0).tolist())  # a row per bucket
                 put_together(spark, model, *counts(f"contexts{o - 1}"), *counts(f"stats{o - 1}"))
     stats = partial.groupBy("range").applyInArrow(write_stats, "range int, n array<bigint>").collect()  # a row per range
-    put_together(spark, model, "stats", *last)
+    put_together(spark, model, *counts("stats"), *last)
+    _drop(spark, model, "wordcounts", *(counts("counts") if order > 2 else ()))
     own = next(r.n for r in stats if r.range < 0)
     model.discounts, model.pairs, model.filled = _discounts(own), own[4], frozenset(own[5:])
     low = [sum(r.n[i] for r in stats if r.range >= 0) for i in range(5)]

@@ -72,24 +72,36 @@ def write_file(uri: str, data: bytes) -> None:
     system.move(part, path)
 
 
-def concatenated(parts: list[str], uri: str) -> list[int]:
-    """Writes the files `parts` one after another as one, renamed when whole; the size of each, 0 for one that isn't there."""
+def shelved(parts: list[str], uri: str) -> list[int]:
+    """Moves the files `parts` one after another into one file; the size of each, 0 for one that isn't there.
+
+    Parts go when the file and a list of their sizes stand under their final names, so a task that runs again finds
+    either all parts or that list.
+    """
     from pyarrow import fs
 
     system, path = _filesystem(uri)
-    parts = [_filesystem(p)[1] for p in parts]
-    sizes = [f.size if f.type == fs.FileType.File else 0 for f in system.get_file_info(parts)]
-    if not any(sizes):
-        return sizes
-    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    own = f"{path}.{uuid.uuid4().hex}.part"
-    with system.open_output_stream(own) as out:
-        for p, size in zip(parts, sizes):
-            if size:
-                with system.open_input_stream(p) as source:
-                    while block := source.read(1 << 22):
-                        out.write(block)
-    system.move(own, path)
+    parts, listed = [_filesystem(p)[1] for p in parts], f"{path}.sizes"
+    if system.get_file_info(listed).type == fs.FileType.File:
+        with system.open_input_stream(listed) as source:
+            sizes = [int(x) for x in source.read().split()]
+    else:
+        sizes = [f.size if f.type == fs.FileType.File else 0 for f in system.get_file_info(parts)]
+        if not any(sizes):
+            return sizes
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        own = f"{path}.{uuid.uuid4().hex}.part"
+        with system.open_output_stream(own) as out:
+            for p, size in zip(parts, sizes):
+                if size:
+                    with system.open_input_stream(p) as source:
+                        while block := source.read(1 << 22):
+                            out.write(block)
+        system.move(own, path)
+        write_file(f"{uri}.sizes", " ".join(map(str, sizes)).encode())
+    for f in system.get_file_info([p for p, size in zip(parts, sizes) if size]):
+        if f.type == fs.FileType.File:
+            system.delete_file(f.path)
     return sizes
 
 
