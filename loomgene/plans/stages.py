@@ -2,26 +2,79 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import urllib.parse
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def keep_once(df: DataFrame) -> DataFrame:
-    """df, computed once; its checkpoint is in spark.checkpoint.dir (a folder of its own only where that is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not (df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().isDefined()):
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomgene-"))
-    return df.checkpoint()
-
-
 def shared_folder(spark) -> str:
-    """The folder in spark.checkpoint.dir; one of its own only where that is unset."""
+    """The folder in spark.checkpoint.dir; where that is unset, one of its own in local mode only."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not known.isDefined():
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomgene-"))
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
     return known.get().rstrip("/")
+
+
+def keep_once(df: DataFrame) -> DataFrame:
+    """df, computed once; its checkpoint is in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def new_folder(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark, uri: str) -> None:
+    """Deletes what nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _place(uri: str):
+    from pyarrow import fs
+
+    if uri.startswith("file:") or uri.startswith("/"):
+        return fs.LocalFileSystem(), urllib.parse.unquote(urllib.parse.urlparse(uri).path)
+    return fs.FileSystem.from_uri(uri)
+
+
+def save_arrays(uri: str, **arrays) -> None:
+    """Arrays in one file, renamed when whole: a task that runs again writes the same."""
+    import numpy as np
+
+    system, path = _place(uri)
+    system.create_dir(os.path.dirname(path), recursive=True)
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    own = f"{path}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(own) as out:
+        out.write(data.getbuffer())
+    system.move(own, path)
+
+
+def load_arrays(uri: str, *names: str) -> tuple:
+    """The arrays of these names; others in the file are not read."""
+    import numpy as np
+
+    system, path = _place(uri)
+    with system.open_input_file(path) as source, np.load(source) as found:
+        return tuple(found[n] for n in names)
+
+
+def there(uri: str) -> bool:
+    from pyarrow import fs
+
+    system, path = _place(uri)
+    return system.get_file_info(path).type == fs.FileType.File
