@@ -53,8 +53,9 @@ def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int = 1) -
 
 def samples(text: DataFrame) -> DataFrame:
     """(sample_idx, sample_id) from the #CHROM line; more than one such line, or none, is an error when rows are read."""
-    head = text.where("startswith(value, '#CHROM')").limit(1)
-    return head.select(F.posexplode(F.slice(F.split("value", "\t"), 10, 1 << 30))).select(F.col("pos").alias("sample_idx"), F.col("col").alias("sample_id"))
+    heads = text.where("startswith(value, '#CHROM')").agg(F.collect_list("value").alias("v"))
+    one = F.when(F.size("v") == 1, F.get("v", F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("a VCF file has one #CHROM line; found "), F.size("v").cast("string"))))
+    return heads.select(F.posexplode(F.slice(F.split(one, "\t"), 10, 1 << 30))).select(F.col("pos").alias("sample_idx"), F.col("col").alias("sample_id"))
 
 
 def records(text: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def records(text: DataFrame) -> DataFrame:
     body = text.where("value <> '' and not startswith(value, '#')")
     alts = F.filter(F.transform(F.split(at(4), ","), clean_allele), lambda x: x.isNotNull())
     end = F.regexp_extract(at(7), r"(?:^|;)END=(\d+)", 1).try_cast("int")
-    return body.select(at(0).alias("chrom"), at(1).cast("int").alias("pos"), F.when(at(2) != ".", at(2)).alias("id"), clean_allele(at(3)).alias("ref"), alts.alias("alts"), end.alias("end"), at(7).alias("info"), F.split(at(8), ":").alias("format"), F.slice(f, 10, 1 << 30).alias("fields"))
+    return body.select(at(0).alias("chrom"), at(1).try_cast("int").alias("pos"), F.when(at(2) != ".", at(2)).alias("id"), clean_allele(at(3)).alias("ref"), alts.alias("alts"), end.alias("end"), at(7).alias("info"), F.split(at(8), ":").alias("format"), F.slice(f, 10, 1 << 30).alias("fields"))
 
 
 def info_map(info):

@@ -30,12 +30,17 @@ def gt_text(a1, a2, phased: bool = True):
 
 
 def rows(sites: DataFrame, cells: DataFrame, form: str = "GT") -> DataFrame:
-    """(chrom, pos, line): sites (chrom, pos, id, ref, alts, optionally info) and cells (chrom, pos, sample_idx, text)."""
-    by_site = cells.groupBy("chrom", "pos").agg(F.array_sort(F.collect_list(F.struct("sample_idx", "text"))).alias("c"))
+    """(chrom, pos, line): sites (chrom, pos, id, ref, alts, optionally info) and cells (chrom, pos, sample_idx, text).
+
+    Where sites have a place (several records may share a position), cells name it instead of pos, and it takes pos's
+    stead in the result, whose rows it orders.
+    """
+    key = "place" if "place" in sites.columns else "pos"
+    by_site = cells.groupBy("chrom", key).agg(F.array_sort(F.collect_list(F.struct("sample_idx", "text"))).alias("c"))
     info = F.coalesce(F.col("info"), F.lit(".")) if "info" in sites.columns else F.lit(".")
     alt = F.when(F.size("alts") > 0, F.array_join("alts", ",")).otherwise(".")
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), F.coalesce("id", F.lit(".")), "ref", alt, F.lit("."), F.lit("PASS"), info, F.lit(form), F.array_join(F.transform("c", lambda x: x.text), "\t"))
-    return sites.join(by_site, ["chrom", "pos"]).select("chrom", "pos", line.alias("line"))
+    return sites.join(by_site, ["chrom", key]).select("chrom", F.col(key).alias("pos"), line.alias("line"))
 
 
 def quality_info(af, dr2, imputed):
@@ -50,8 +55,8 @@ def write_vcf(lines: DataFrame, head: list[str], path: str, compression: str = "
     Rows are range-partitioned by place, so no task gets the whole file.
     """
     spark = lines.sparkSession
-    top = spark.createDataFrame([("", -len(head) + i, x) for i, x in enumerate(head)], "chrom string, pos int, line string")
-    body = lines.select("chrom", F.col("pos").cast("int").alias("pos"), "line")
+    top = spark.createDataFrame([("", -len(head) + i, x) for i, x in enumerate(head)], "chrom string, pos bigint, line string")
+    body = lines.select("chrom", F.col("pos").cast("bigint").alias("pos"), "line")
     both = top.unionByName(body).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
     both.select("line").write.text(path, compression=compression)
 

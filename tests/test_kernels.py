@@ -132,18 +132,18 @@ def typed(t):
 def test_slam_dunk(k):
     t = np.zeros((50, 2), np.int64)
     t[1::2] = 255
-    p = impute_window(two_groups(50, 100), np.arange(50) * 0.001, t, typed(t), 1e5, 1e-3, k, 0.005)[0]
+    p = impute_window(two_groups(50, 100), np.arange(50) * 0.001, t, typed(t), 1e5, 1e-3, k, 0.005)[0][0]
     assert p[1::2].sum(1).max() < 0.1 and (p[0::2] == 0).all()
 
 
 def test_recombination_and_population_structure():
     t = np.repeat(np.where(np.arange(50) < 20, 0, 1)[:, None], 2, 1)
     t[[15, 25]] = 255
-    p = impute_window(two_groups(50, 100), np.arange(50) * 0.1, t, typed(t), 1e4, 1e-3, 100, 0.005)[0]
+    p = impute_window(two_groups(50, 100), np.arange(50) * 0.1, t, typed(t), 1e4, 1e-3, 100, 0.005)[0][0]
     assert p[15].sum() < 0.1 and p[25].sum() > 1.9
     t = np.repeat(np.where(np.arange(100) < 50, 0, 1)[:, None], 2, 1)
     t[[48, 52]] = 255
-    p = impute_window(two_groups(100, 200), np.arange(100) * 0.1, t, typed(t), 1e4, 1e-3, 50, 0.005)[0]
+    p = impute_window(two_groups(100, 200), np.arange(100) * 0.1, t, typed(t), 1e4, 1e-3, 50, 0.005)[0][0]
     assert p[48].sum() < 0.1 and p[52].sum() > 1.9
 
 
@@ -152,7 +152,7 @@ def test_array_density_is_recovered():
     truth = panel[:, [3, 12, 21, 30, 5, 14]]
     t = truth.copy()
     t[np.arange(100) % 5 != 0] = 255
-    p = impute_window(panel, np.arange(100) * 0.001, t, typed(t), 1e4, 1e-3, 40, 0.0)[0]
+    p = impute_window(panel, np.arange(100) * 0.001, t, typed(t), 1e4, 1e-3, 40, 0.0)[0][0]
     rest = np.arange(100) % 5 != 0
     ds, want = p[rest].reshape(80, 3, 2).sum(2).ravel(), truth[rest].reshape(80, 3, 2).sum(2).ravel()
     assert np.corrcoef(ds, want)[0, 1] ** 2 > 0.5
@@ -161,7 +161,7 @@ def test_array_density_is_recovered():
 def test_no_typed_marker_gives_panel_frequency():
     t = np.full((4, 2), 255)
     panel = np.array([[0, 1], [1, 1], [0, 0], [255, 1]])
-    assert impute_window(panel, np.arange(4.0), t, typed(t), 1e4, 0.01, 10, 0.1)[0].tolist() == [[0.5, 0.5], [1, 1], [0, 0], [1, 1]]
+    assert impute_window(panel, np.arange(4.0), t, typed(t), 1e4, 0.01, 10, 0.1)[0][0].tolist() == [[0.5, 0.5], [1, 1], [0, 0], [1, 1]]
 
 
 def test_bridge_between_anchors():
@@ -312,5 +312,5 @@ def test_several_alternatives():
     panel[:, 10:20], panel[:, 20:] = 1, 2
     t = np.full((30, 3), 255)
     t[::3] = [0, 1, 2]
-    p = impute_window(panel, np.arange(30) * 0.001, t, typed(t), 1e3, 1e-3, 100, 0.0, alts=2)
+    p = impute_window(panel, np.arange(30) * 0.001, t, typed(t), 1e3, 1e-3, 100, 0.0, alts=2)[0]
     assert p.shape == (2, 30, 3) and np.allclose(p[:, :28].transpose(1, 2, 0), [[0, 0], [1, 0], [0, 1]], atol=0.05)

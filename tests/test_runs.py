@@ -78,3 +78,25 @@ def test_phase_with_reference(spark, files, tmp_path):
     run.phase_file(spark, c)
     t = vcf.calls(vcf.lines(spark, str(tmp_path / "q.vcf.gz")))
     assert t.count() == 40 and t.where("not phased or a1 is null").count() == 0
+
+
+def test_several_records_at_one_place(spark, files, tmp_path):
+    """Split multiallelic sites and an insertion beside a base change: all are imputed or phased, and written in order."""
+    ref = []
+    for i in range(30):
+        a = [f"{(i + k) % 2}|{k % 2}" for k in range(8)]
+        b = [f"{k % 2}|{(i + k) % 2}" for k in range(8)]
+        ref.append(("1", 1000 * i + 1, "A", "G", a))
+        if i % 5 == 2:
+            ref += [("1", 1000 * i + 1, "A", "T", b), ("1", 1000 * i + 1, "A", "AT", a)]
+    write_vcf(tmp_path / "ref.vcf", ref, [f"r{k}" for k in range(8)])
+    target = [("1", p, r, x, [g[0], g[3]]) for c, p, r, x, g in ref if p % 2000 == 1 and x != "AT"]
+    write_vcf(tmp_path / "gt.vcf", target, ["s1", "s2"])
+    run.impute_file(spark, Config(gt=str(tmp_path / "gt.vcf"), ref=str(tmp_path / "ref.vcf"), out=str(tmp_path / "i"), ne=1e4))
+    body = [x.split("\t") for x in read(tmp_path / "i.vcf.gz") if not x.startswith("#")]
+    assert [(int(x[1]), x[3], x[4]) for x in body] == sorted((p, r, x) for _, p, r, x, _ in ref)
+    run.phase_file(spark, Config(gt=str(tmp_path / "gt.vcf"), out=str(tmp_path / "p"), burnin=1, iterations=1))
+    body = [x.split("\t") for x in read(tmp_path / "p.vcf.gz") if not x.startswith("#")]
+    assert [(int(x[1]), x[3], x[4]) for x in body] == sorted((p, r, x) for _, p, r, x, _ in target)
+    given = {(p, x): g for _, p, _, x, g in target}
+    assert all([sorted(a) for a in x[9:]] == [sorted(a) for a in given[int(x[1]), x[4]]] for x in body)

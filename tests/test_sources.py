@@ -110,3 +110,11 @@ def test_stream_of_files_equals_batch(spark, path, tmp_path):
     q = stream.writeStream.format("memory").queryName("vcf_records").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.pos for r in spark.table("vcf_records").collect()) == [50, 100, 200, 300]
+
+
+@pytest.mark.parametrize("heads", [0, 2])
+def test_a_vcf_file_needs_one_header(spark, tmp_path, heads):
+    head = "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", "s"])
+    (tmp_path / "x.vcf").write_text("\n".join([head] * heads + ["1\t5\t.\tA\tG\t.\t.\t.\tGT\t0|1"]) + "\n")
+    with pytest.raises(Exception, match="#CHROM"):
+        vcf.calls(vcf.lines(spark, str(tmp_path / "x.vcf"))).collect()
