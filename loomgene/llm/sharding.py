@@ -11,8 +11,8 @@ Hot groups: copies with ids of their own scatter like any record. Rows that are
 column share a hash; where they swell a bucket beyond HOT times its size they are dealt over
 sub-buckets by row number (only then the order also depends on how the input is partitioned). That
 placement is written before it is counted, so that a task that runs again cannot place them anew.
-Pass two has twice as many partitions as buckets, so a task gets a few buckets whatever the input's
-size, and holds one at a time.
+Pass two has as many partitions as buckets, so a task gets a few buckets whatever the input's size,
+and holds one at a time.
 
 Nulls in any column are values like others (a null text has size 1). Maps, which have no hash, are
 carried along. An empty table gives an empty result.
@@ -28,7 +28,7 @@ from .store import free_name, small_batches, written
 
 SHARDS = 8
 SEED = 2718281828
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 32 << 20
 LEAST_BUCKETS = 16
 HOT = 4
 #: Tasks of pass two at most; beyond, a task shuffles more buckets, one after another.
@@ -90,7 +90,7 @@ def shuffle(df: DataFrame, text_col: str = "text", shards: int = SHARDS, seed: i
         return bucket.append_column("_shard", pa.array((at % shards).astype(np.int32))).append_column("_slot", pa.array(at // shards))
 
     groups = buckets + sum(n for _, n in keys)
-    done = ready.repartition(int(min(2 * groups, MOST_TASKS)), "_bucket", "_sub").groupBy("_bucket", "_sub").applyInArrow(fisher_yates, schema)
+    done = ready.repartition(int(min(groups, MOST_TASKS)), "_bucket", "_sub").groupBy("_bucket", "_sub").applyInArrow(fisher_yates, schema)
     return done.select(*[F.col(o).alias(n) for o, n in zip(own, names)], F.col("_shard").alias(free_name(df, "shard")), F.col("_slot").alias(free_name(df, "slot")))
 
 
