@@ -363,10 +363,10 @@ def genotype_codes(spark, d):
     return t.select("l_orderkey", "l_linenumber", model.bits_per_allele(F.col("l_linenumber")).alias("bits"), gt.genotype_index((F.col("l_linenumber") % 3).cast("int"), (F.col("l_suppkey") % 3).cast("int")).alias("idx"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CAST(round(least(1.0, greatest(0.0, p1 + p2)), 6) AS DOUBLE) AS ds, concat(CASE WHEN p1 >= 0.5 THEN 1 ELSE 0 END, '|', CASE WHEN p2 >= 0.5 THEN 1 ELSE 0 END) AS gt, round((1 - p1) * (1 - p2), 6) AS gp0, round(p1 * (1 - p2) + (1 - p1) * p2, 6) AS gp1, round(p1 * p2, 6) AS gp2 FROM (SELECT l_orderkey, l_linenumber, (l_quantity - 1) / 49 AS p1, l_discount * 5 AS p2 FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, CAST(round(p1 + p2, 6) AS DOUBLE) AS ds, concat(CASE WHEN p1 >= 0.5 THEN 1 ELSE 0 END, '|', CASE WHEN p2 >= 0.5 THEN 1 ELSE 0 END) AS gt, round((1 - p1) * (1 - p2), 6) AS gp0, round(p1 * (1 - p2) + (1 - p1) * p2, 6) AS gp1, round(p1 * p2, 6) AS gp2 FROM (SELECT l_orderkey, l_linenumber, (l_quantity - 1) / 49 AS p1, l_discount * 5 AS p2 FROM lineitem)")
 def imputed_fields(spark, d):
     t = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", ((F.col("l_quantity") - 1) / 49).alias("p1"), (F.col("l_discount") * 5).alias("p2"))
     gp = gt.genotype_probabilities(F.array(1 - F.col("p1"), "p1"), F.array(1 - F.col("p2"), "p2"))
     a, b = gt.hard_call(F.col("p1"), F.col("p2"))
-    out = t.select("l_orderkey", "l_linenumber", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("p1") + F.col("p2"))).alias("ds"), F.concat_ws("|", a.cast("string"), b.cast("string")).alias("gt"), *[F.get(gp, F.lit(k)).alias(f"gp{k}") for k in range(3)])
+    out = t.select("l_orderkey", "l_linenumber", (F.col("p1") + F.col("p2")).alias("ds"), F.concat_ws("|", a.cast("string"), b.cast("string")).alias("gt"), *[F.get(gp, F.lit(k)).alias(f"gp{k}") for k in range(3)])
     return r6(out, "ds", "gp0", "gp1", "gp2")

@@ -9,6 +9,7 @@ from ..operators import frequency, hmm, metrics, pbwt, posteriors, quality
 from ..sources import vcf
 from .catalog import _BIN, query, r6
 from .catalog_sharing import _PREFIX
+from .stages import keep_once
 
 _W = "SELECT l_orderkey AS k, l_linenumber AS hap, power(l_quantity / 50, 6) AS p FROM lineitem"
 
@@ -83,16 +84,21 @@ def state_lists(spark, d):
     return g.select("m", F.array_join(F.transform(posteriors.state_list(F.col("own"), 8, fx.PANEL), lambda x: x.cast("string")), ",").alias("states"))
 
 
-@query(_PREFIX + ", r AS (SELECT win, m, hap, row_number() OVER (PARTITION BY win, m ORDER BY prefix, hap) AS k FROM p) SELECT a.win, a.m, a.hap, b.hap AS other FROM r a JOIN r b ON a.win = b.win AND a.m = b.m AND a.k <> b.k AND abs(a.k - b.k) <= 2 AND a.hap // 2 <> b.hap // 2", "panel")
+@query(_PREFIX + ", r AS (SELECT win, m, hap, row_number() OVER (PARTITION BY win, m ORDER BY prefix, hap) AS k FROM p), s AS (SELECT win, m, hap, k + unnest([-2, -1, 1, 2]) AS k FROM r) SELECT s.win, s.m, s.hap, b.hap AS other FROM s JOIN r b ON s.win = b.win AND s.m = b.m AND s.k = b.k WHERE s.hap // 2 <> b.hap // 2", "panel")
 def sorted_neighbours(spark, d):
     p = fx.panel(spark, d).withColumn("win", F.expr("m div 25"))
-    return posteriors.rank_band(pbwt.ranks(pbwt.vectors(p, ["win"]), ["win"]), ["win", "m"], 2)
+    return posteriors.rank_band(keep_once(pbwt.ranks(pbwt.vectors(p, ["win"]), ["win"])), ["win", "m"], 2)
 
 
-@query(", w AS (SELECT *, m // 25 AS win FROM panel), p AS (SELECT a.win, a.m, a.hap, string_agg(b.allele::VARCHAR, '' ORDER BY b.m) AS suffix FROM w a JOIN w b ON a.win = b.win AND a.hap = b.hap AND b.m >= a.m GROUP BY ALL) SELECT win, m, hap, row_number() OVER (PARTITION BY win, m ORDER BY suffix, hap) - 1 AS rank FROM p", "panel")
+@query(
+    """, w AS (SELECT *, m // 25 AS win FROM panel), p AS (SELECT a.win, a.m, a.hap, string_agg(b.allele::VARCHAR, '' ORDER BY b.m) AS suffix FROM w a JOIN w b ON a.win = b.win AND a.hap = b.hap AND b.m >= a.m GROUP BY ALL),
+r AS (SELECT win, m, hap, row_number() OVER w - 1 AS rank, suffix, lag(suffix) OVER w AS before FROM p WINDOW w AS (PARTITION BY win, m ORDER BY suffix, hap))
+SELECT win, m, hap, rank, m - win * 25 - 1 + (SELECT count(*) FROM range(1, 26) t(k) WHERE k <= length(suffix) AND before IS NOT NULL AND substr(suffix, 1, k) = substr(before, 1, k)) AS match_end FROM r""",
+    "panel",
+)
 def backward_ranks(spark, d):
     p = fx.panel(spark, d).withColumn("win", F.expr("m div 25"))
-    return pbwt.ranks(pbwt.vectors(p, ["win"]), ["win"], backward=True).drop("match_start")
+    return pbwt.ranks(pbwt.vectors(p, ["win"]), ["win"], backward=True).withColumnRenamed("match_start", "match_end")
 
 
 @query("SELECT sample, count(*) FILTER (o = 1) AS swaps, count(*) AS seen, round((count(*) FILTER (o = 1) + 0.5) / (count(*) + 1), 6) AS p, round(greatest(count(*) FILTER (o = 1) + 0.5, count(*) FILTER (o = 0) + 0.5) / least(count(*) FILTER (o = 1) + 0.5, count(*) FILTER (o = 0) + 0.5), 6) AS ratio FROM hets GROUP BY sample", "hets")
@@ -110,7 +116,16 @@ def call_rates(spark, d):
     return r6(posteriors.call_rates(fx.pairs(spark, d)), "hom_ref_rate", "alt_association")
 
 
-@query()
+@query(
+    """, o AS (SELECT sample, pos, o, CASE o WHEN 1 THEN 0.9 ELSE 0.1 END::DOUBLE AS e1, row_number() OVER (PARTITION BY sample ORDER BY pos) AS k, count(*) OVER (PARTITION BY sample) AS n FROM hets),
+f AS (SELECT sample, o, k, e1 AS p FROM o WHERE k = 1 UNION ALL
+  SELECT o.sample, o.o, o.k, e1 * (0.9 * p + 0.05) / (e1 * (0.9 * p + 0.05) + (1 - e1) * (0.9 * (1 - p) + 0.05)) FROM f JOIN o ON o.sample = f.sample AND o.k = f.k + 1),
+b AS (SELECT sample, k, e1, 0.5::DOUBLE AS b0, 0.5::DOUBLE AS b1 FROM o WHERE k = n UNION ALL
+  SELECT o.sample, o.k, o.e1, 0.9 * b0 * (1 - b.e1) / (b0 * (1 - b.e1) + b1 * b.e1) + 0.05, 0.9 * b1 * b.e1 / (b0 * (1 - b.e1) + b1 * b.e1) + 0.05 FROM b JOIN o ON o.sample = b.sample AND o.k = b.k - 1),
+q AS (SELECT o, p * b1 / (p * b1 + (1 - p) * b0) AS p FROM f JOIN b ON f.sample = b.sample AND f.k = b.k)
+SELECT round(sum(CASE WHEN o = 1 THEN p ELSE 1 - p END), 6) AS match, round(sum(CASE WHEN o = 1 THEN 1 - p ELSE p END), 6) AS mismatch FROM q""",
+    "hets",
+)
 def em_matches(spark, d):
     h = fx.hets(spark, d)
     return r6(posteriors.expected_matches(h.join(hmm.two_state(h).toDF("s", "q", "scale", "forward", "posterior"), (F.col("s") == F.col("sample")) & (F.col("q") == F.col("pos")))), "match", "mismatch")
