@@ -292,12 +292,15 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     plain = df.toDF(*own)
     #: Maps have no hash of their own; NULL is told from other values.
     value = lambda f: F.to_json(F.col(f.name)) if isinstance(f.dataType, (T.MapType, T.VariantType)) else F.col(f.name)
-    keyed = plain.withColumn("_key", F.xxhash64(*[c for f in plain.schema for c in (F.isnull(f.name), value(f))]))
-    near = written(near_duplicates(keyed, of[id_col], of[text_col], ["_key"], radius), "near")
-    pick = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", F.col("_key").alias("k"))).alias("p")
-    kept = near.groupBy("root").agg(pick).select(F.col("p.k").alias("_keep"))
-    out = keyed.join(kept, F.col("_key") == F.col("_keep"), "left_semi")
-    total, different = near.agg(F.count("*"), F.count_distinct("_key")).first()
+    parts = [c for f in plain.schema for c in (F.isnull(f.name), value(f))]
+    #: A row's identity: 128 bits, so that different rows of any corpus stay apart.
+    key = ["_key", "_key2"]
+    keyed = plain.withColumns({"_key": F.xxhash64(*parts), "_key2": F.xxhash64(F.lit(SEED), *parts)})
+    near = written(near_duplicates(keyed, of[id_col], of[text_col], key, radius), "near")
+    pick = F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", F.col("_key").alias("k"), F.col("_key2").alias("k2"))).alias("p")
+    kept = near.groupBy("root").agg(pick).select(F.col("p.k").alias("_key"), F.col("p.k2").alias("_key2"))
+    out = keyed.join(kept, key, "left_semi")
+    total, different = near.agg(F.count("*"), F.count_distinct(*key)).first()
     if total != different:
-        out = out.dropDuplicates(["_key"])
+        out = out.dropDuplicates(key)
     return out.select(*[F.col(o).alias(c) for o, c in zip(own, df.columns)])

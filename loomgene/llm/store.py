@@ -30,12 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as parquet to the shared folder and read again: its lineage ends here."""
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written as parquet to the shared folder and read again (its lineage ends here), and where it lies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
 
 
 def removed(path: str, spark: SparkSession) -> None:

@@ -636,3 +636,36 @@ def test_remainders_match_zlib(spark):
 
 def test_items_digest():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_extra_columns_of_any_name_and_type(spark):
+    """A struct with fields that are no identifiers, a map and an array ride along through all operators that return rows."""
+    extra = ["named_struct('content-type', 'a b', 'x.y', 1) as `odd col`", "map('k', 1) as `_r0`", "array(1, 2) as `fp`"]
+    docs = spark.range(1, 90).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 60), x -> concat('w', (x * id) % 97, if(x % 9 = 0, '\\n', '')))) as text", "'en' as lang", "'s' as source", "concat('http://a.com/', id) as url", *extra)
+    rows = Counter(str(r) for r in docs.collect())
+    items = spark.createDataFrame([(1, "w1 w2 w3")], "item_id long, text string")
+    for out in (quality.drop_low_quality(docs), simhash.drop_near_duplicates(docs), decontaminate.drop_contaminated(docs, items), mixing.mix(docs)):
+        assert out.columns == docs.columns and set(str(r) for r in out.collect()) <= set(rows)
+    model, grams = langid.train(docs), lm.train(docs)
+    for out in (sharding.shuffle(docs), licenses.find(docs), urls.judge(docs), decontaminate.find(docs, items), langid.predict(docs, model), lm.score(docs, grams)):
+        assert out.columns[: len(docs.columns)] == docs.columns
+        assert Counter(str(r) for r in out.select(*[F.col(f"`{c}`") for c in docs.columns]).collect()) == rows
+    assert tokens.histogram(docs).agg(F.sum("docs")).first()[0] == 89
+
+
+def test_very_long_texts_in_all_operators(spark):
+    """10 MB without a break, of blanks, and of words: judged whole, with the values that plain code gives."""
+    texts = ["x" * 10_000_000, " " * 10_000_000 + "x", "ab cd\n" * 1_700_000]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(3)
+    items = spark.createDataFrame([(1, "cd ab cd")], "item_id long, text string")
+    assert {r.doc_id: r.sig.n_words for r in quality.signals(docs, "text", ["doc_id"]).collect()} == {0: 1, 1: 1, 2: 3_400_000}
+    fps = {r.doc_id: r.fp % (1 << 64) for r in simhash.fingerprints(docs, "text", ["doc_id"]).collect()}
+    assert fps == {i: plain_fingerprint(t) for i, t in enumerate(texts)}
+    found = {r.doc_id: r.contamination for r in decontaminate.find(docs, items).collect()}
+    assert [found[i].n_hit for i in range(3)] == [0, 0, 3_399_999] and len(found[2].spans) == 1
+    assert {r.doc_id: r.licenses.n_words for r in licenses.find(docs).collect()} == {0: 1, 1: 1, 2: 3_400_000}
+    assert sharding.shuffle(docs).count() == 3 and mixing.mix_sizes(docs).agg(F.sum("size")).first()[0] == 3_400_002
+    model, grams = langid.train(docs), lm.train(docs)
+    assert {r.language.lang for r in langid.predict(docs, model).collect()} == {"en"}
+    assert {r.doc_id: r.lm.n_tokens for r in lm.score(docs, grams).collect()} == {0: 2, 1: 2, 2: 3_400_001}
+    assert tokens.histogram(docs).count() == 3
