@@ -314,3 +314,17 @@ def test_several_alternatives():
     t[::3] = [0, 1, 2]
     p = impute_window(panel, np.arange(30) * 0.001, t, typed(t), 1e3, 1e-3, 100, 0.0, alts=2)[0]
     assert p.shape == (2, 30, 3) and np.allclose(p[:, :28].transpose(1, 2, 0), [[0, 0], [1, 0], [0, 1]], atol=0.05)
+
+
+def test_the_partner_rules_alleles_out():
+    """The first haplotype's alleles leave the others of each genotype for the second; doubtful calls weigh less."""
+    panel = two_groups(30, 40)
+    t = np.full((30, 2), 255)
+    t[::3] = [0, 1]
+    t[15, 0], t[15, 1] = 1, 0  # turned by mistake: the first haplotype's neighbours say 0, so 1 is left for the second
+    p, model = impute_window(panel, np.arange(30) * 0.001, t, typed(t), 1e3, 1e-3, 100, 0.0, lock=True)
+    assert (model[0][:, 0] < 0.2).all() and (model[0][:, 1] > 0.8).all() and p[0][15].tolist() == [1, 0]
+    e = hmm.match_emissions(np.array([[0]]), np.array([[0, 1, 255]]), 0.01, np.array([[0.5]]))
+    assert np.allclose(e, [[[0.745, 0.255, 1.0]]])
+    sure = hmm.cluster_log_emissions(np.array([[0], [0]]), np.array([[0, 1], [0, 0]]), np.array([0]), 0.01, np.array([[1.0], [0.0]]))
+    assert np.allclose(np.exp(sure - sure.max()), [[[1.0, 0.01 / 0.99]]])
