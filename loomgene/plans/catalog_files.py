@@ -13,6 +13,7 @@ from . import impute as im
 from . import stages
 from .catalog import query, r6
 from .catalog_model import _vcf_lines
+from .catalog_sharing import _PREFIX
 
 #: Of each pair of haplotypes in a window where their current match began (s, local to the window), and both ranks.
 _PAIRS = """, w AS (SELECT *, m // 25 AS win FROM panel), p AS (SELECT a.win, a.m, a.hap, string_agg(b.allele::VARCHAR, '' ORDER BY b.m DESC) AS prefix FROM w a JOIN w b ON a.win = b.win AND a.hap = b.hap AND b.m <= a.m GROUP BY ALL),
@@ -37,7 +38,7 @@ def spiral_picks(spark, d):
     return pbwt.picks(_vectors(spark, d), ["win"], "spiral", 6)
 
 
-@query(_PAIRS + "SELECT win, m, hap, other FROM y WHERE s <= greatest(0, m - win * 25 - 5) AND abs(kj - ki) <= 32", "panel")
+@query(_PREFIX + ", r AS (SELECT win, m, hap, substr(prefix, 1, 6) AS near, row_number() OVER (PARTITION BY win, m ORDER BY prefix, hap) AS k FROM p) SELECT a.win, a.m, a.hap, b.hap AS other FROM r a JOIN r b ON a.win = b.win AND a.m = b.m AND a.near = b.near WHERE a.hap // 2 <> b.hap // 2 AND abs(a.k - b.k) <= 32", "panel")
 def match_blocks(spark, d):
     return pbwt.picks(_vectors(spark, d), ["win"], "block", 4)
 
